@@ -101,6 +101,9 @@ class Transducer:
         other = _ranges(sorted(set(blanks) - {0x20}))
         single = _ranges(sorted(ord(c) for c in self.rules))
         # Longest cluster first: runs of blanks, a base with its accents, then single signs.
+        self._single = {c: t for c, t in self.rules.items()} | {chr(c): " " for c in blanks if c != 0x20}
+        self._clusters = re.compile(f"[{ig}{mk}]")
+        self._runs = re.compile(" {2,}")
         self._pattern = re.compile(f"[{bl}{ig}]{{2,}}|[^{bl}{ig}{mk}][{ig}]*[{mk}][{ig}{mk}]*|[{single}]|[{other}{ig}]")
         self._has_blank = re.compile(f"[{bl}]")
         self._ignored = re.compile(f"[{ig}]+")
@@ -139,6 +142,11 @@ class Transducer:
         """The consistent form of ``text``."""
         if text.isascii():
             return self._ascii.sub(lambda m: " " if self._has_blank.search(m[0]) else "", text).strip(" ")
+        if not self._clusters.search(text):
+            # Every cluster is a single sign: rewrite each distinct sign that has a rule.
+            for sign in self._single.keys() & set(text):
+                text = text.replace(sign, self._single[sign])
+            return self._runs.sub(" ", text).strip(" ")
         cluster = self._cluster
         return self._pattern.sub(lambda m: cluster(m[0]), text).strip(" ")
 
