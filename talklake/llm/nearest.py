@@ -26,11 +26,8 @@ def widths(first_ms: int, tolerance_ms: int) -> list[int]:
 def _buckets(right: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """(keys, bucket, own, before, after): the bucket's candidates, the last before it and the first after it."""
     b = F.floor(F.col("_at") / F.lit(width)).cast("long")
-    per = right.groupBy(*keys, b.alias("_b")).agg(
-        F.collect_list(F.struct("_at", "_rank", "_value")).alias("own"),
-        F.min(F.struct("_at", "_rank", "_value")).alias("lo"),
-        F.max_by(F.struct("_at", "_rank", "_value"), "_at").alias("hi"),
-    )
+    per = right.groupBy(*keys, b.alias("_b")).agg(F.collect_list(F.struct("_at", "_value")).alias("own"))
+    per = per.withColumns({"lo": F.array_min("own"), "hi": F.array_max("own")})
     none = F.lit(None)
     kind = per.schema["own"].dataType.simpleString()
     one = per.schema["lo"].dataType.simpleString()
@@ -54,15 +51,15 @@ def nearest_in_time(
     keys: Sequence[str],
     left_ms: str,
     right_ms: str,
-    right_rank: Column,
     right_value: Column,
     tolerance_ms: int,
-    first_ms: int = 200,
+    first_ms: int = 375,
     out: str = "nearest",
 ) -> DataFrame:
     """``left`` with ``out``: the right value whose time is nearest, or null if none is within the tolerance.
 
-    At equal distance the earlier time wins, at equal times the smallest ``right_rank``. Rows whose time or
+    At equal distance the earlier time wins, at equal times the smallest ``right_value`` (a struct that
+    begins with what orders the rows; keep it and ``left`` narrow, both are shuffled). Rows whose time or
     key is null find nothing and stand for nothing. The left columns are kept as they are, whatever their names.
     """
     keys = list(keys)
@@ -71,8 +68,8 @@ def nearest_in_time(
     for k in keys:
         r = r.where(F.col(k).isNotNull())
     # One row per key and moment: more cannot be told apart by time.
-    r = r.select(*keys, F.col(right_ms).alias("_at"), right_rank.alias("_rank"), right_value.alias("_value"))
-    r = r.groupBy(*keys, "_at").agg(F.min(F.struct("_rank", "_value")).alias("_m")).select(*keys, "_at", "_m._rank", "_m._value")
+    r = r.select(*keys, F.col(right_ms).alias("_at"), right_value.alias("_value"))
+    r = r.groupBy(*keys, "_at").agg(F.min("_value").alias("_value"))
     row = F.struct(*[F.col(c) for c in cols])
     todo = left.select(row.alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_ms).alias("_t"))
     blind = F.col("_t").isNull()
@@ -97,8 +94,7 @@ def nearest_in_time(
         if n == len(rings) - 1:
             done.append(ranked.select("_row", F.when(hit, F.col("best.v")).alias(out)))
         else:
-            # Read twice (accepted and unresolved rows); a lost block is recomputed from its lineage.
-            ranked = ranked.persist()
+            # Accepted and unresolved rows come from the same exchanges, which Spark reuses.
             done.append(ranked.where(hit).select("_row", F.col("best.v").alias(out)))
             todo = ranked.where(~hit).drop("best")
     result = done[0]

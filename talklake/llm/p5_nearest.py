@@ -12,22 +12,13 @@ TOLERANCE_MS = 1_500
 
 
 def cue_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cue with a start in a track of an episode, with its nearest segment (null if none is near enough)."""
-    cues = table(spark, sf_dir, "cues").select("doc_id", F.col("id").alias("cue_id"), F.col("start").alias("cue_start"), F.col("text").alias("cue_text"))
-    cues = cues.dropDuplicates(["doc_id", "cue_id"])
-    tracks = table(spark, sf_dir, "subtitle_docs").where(F.col("episode_id").isNotNull()).select("doc_id", "episode_id").dropDuplicates(["doc_id"])
-    left = cues.withColumn("cue_ms", millis("cue_start")).where(F.col("cue_ms").isNotNull()).join(tracks, "doc_id")
-    segments = table(spark, sf_dir, "segments").select("episode_id", "id", "idx", "start", "text", millis("start").alias("segment_ms"))
-    return nearest_in_time(
-        left,
-        segments,
-        ["episode_id"],
-        "cue_ms",
-        "segment_ms",
-        F.struct("start", "idx", "id"),
-        F.struct(F.col("id").alias("segment_id"), F.col("start").alias("segment_start"), F.col("text").alias("segment_text")),
-        TOLERANCE_MS,
-    )
+    """(doc_id, cue_id, episode_id, nearest) of every cue with a start in a track of an episode."""
+    cues = table(spark, sf_dir, "cues").select("doc_id", F.col("id").alias("cue_id"), millis("start").alias("cue_ms"))
+    cues = cues.where(F.col("cue_ms").isNotNull()).distinct()
+    tracks = table(spark, sf_dir, "subtitle_docs").where(F.col("episode_id").isNotNull()).select("doc_id", "episode_id").distinct()
+    segments = table(spark, sf_dir, "segments").select("episode_id", "id", "idx", "start", millis("start").alias("segment_ms"))
+    value = F.struct("start", "idx", F.col("id").alias("segment_id"))
+    return nearest_in_time(cues.join(tracks, "doc_id"), segments, ["episode_id"], "cue_ms", "segment_ms", value, TOLERANCE_MS)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +28,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs with both starts and texts; cues without a near segment have nulls."""
-    return cue_segments(spark, sf_dir).select("doc_id", "cue_id", "cue_start", "cue_text", "nearest.*")
+    cues = table(spark, sf_dir, "cues").select("doc_id", F.col("id").alias("cue_id"), F.col("start").alias("cue_start"), F.col("text").alias("cue_text")).distinct()
+    segments = table(spark, sf_dir, "segments").select("episode_id", F.col("id").alias("segment_id"), F.col("start").alias("segment_start"), F.col("text").alias("segment_text")).distinct()
+    met = cue_segments(spark, sf_dir).select("doc_id", "cue_id", "episode_id", "nearest.segment_id")
+    return met.join(cues, ["doc_id", "cue_id"]).join(segments, ["episode_id", "segment_id"], "left").select(
+        "doc_id", "cue_id", "cue_start", "cue_text", "segment_id", "segment_start", "segment_text"
+    )
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs}
