@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["p1_turns", "p2_splitting", "p4_lookalike", "p5_nearest", "p7_leakage", "p8_sentences"]
+MODULES = ["p1_turns", "p2_splitting", "p4_lookalike", "p5_nearest", "p6_packing", "p7_leakage", "p8_sentences"]
 
 
 def queries() -> dict:
