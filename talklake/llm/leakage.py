@@ -10,7 +10,6 @@ gives the exact length of every shared passage.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +26,8 @@ WORDS, LETTERS = 12, 25
 _PAIR, _TRIPLE = 2, 3
 #: Distinct item tokens held by one executor at a time; more items are looked up in blocks.
 MAX_TERMS = 2_000_000
+#: Tokens of a stretch of a document in which postings and alignments meet.
+_STRETCH = 64
 _CHARS = 1_000_000
 _LIMIT = 0x20000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -49,7 +50,7 @@ class _Reader:
                 continue
             ch = chr(cp)
             if not ch.isalnum():
-                if not ch.isspace() and transducer()._clusters.match(ch):
+                if not ch.isspace() and transducer().joins(ch):
                     slow.append(cp)
                 continue
             folded = self.fold(ch, apply)
@@ -57,10 +58,11 @@ class _Reader:
                 table[cp] = ord(folded) if folded.isalnum() else 0
             else:
                 several[ch] = folded
-        self.table, self.several = table, several
-        mixed = sorted([*slow, *map(ord, several)])
-        self.unusual = re.compile("[" + "".join(map(re.escape, map(chr, mixed))) + "]")
-        self.replace = str.maketrans(several)
+        self.table = table
+        # Signs that need the whole transducer: parts of clusters, and letters that fold to several.
+        self.unusual = np.zeros(_LIMIT + 1, bool)
+        self.unusual[[*slow, *map(ord, several), _LIMIT]] = True
+        self.several = several
         powers = np.full(4096, _M2, np.uint64)
         powers[0] = 1
         with np.errstate(over="ignore"):
@@ -74,12 +76,30 @@ class _Reader:
             ch = upper
         return apply(apply(ch).casefold())
 
-    def prepare(self, text: str) -> str:
+    def plain(self, text: str) -> str:
         """Text in which every letter is a single sign that the table folds."""
-        if not text.isascii() and self.unusual.search(text):
-            text = transducer().apply(text).translate(self.replace)
+        text = transducer().apply(text)
+        for sign in self.several.keys() & set(text):
+            text = text.replace(sign, self.several[sign])
         return text.replace("\0", " ")
 
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """Code points of the texts, 0 between them; unusual texts are made plain first."""
+        codes = _codes(texts)
+        found = np.flatnonzero(self.unusual[np.minimum(codes, _LIMIT)])
+        stray = np.count_nonzero(codes == 0) != len(texts) - 1
+        if len(found) or stray:
+            odd = range(len(texts)) if stray else np.unique(np.searchsorted(np.flatnonzero(codes == 0), found)).tolist()
+            texts = list(texts)
+            for i in odd:
+                texts[i] = self.plain(texts[i])
+            codes = _codes(texts)
+        return codes
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
 @lru_cache(1)
 def reader() -> _Reader:
@@ -96,8 +116,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def token_arrays(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """(text number, position, token, letters?) of word pairs, then of letter triples."""
     r = reader()
-    joined = "\0".join([r.prepare(t) for t in texts])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = r.encode(texts)
     folded = np.where(codes < _LIMIT, r.table[np.minimum(codes, _LIMIT - 1)], codes)
     at = np.flatnonzero(folded)
     if not len(at):
@@ -228,11 +247,14 @@ def _passages(docs: DataFrame, tokens: DataFrame, terms: np.ndarray) -> DataFram
     # Offset-adjusted lists of the rarest tokens; an alignment must be met by two of them.
     met = index.join(anchors.withColumnRenamed("pos", "item_pos"), "term").select("item_id", "doc_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     alignments = met.groupBy("item_id", "doc_id", "shift").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    # All tokens of the documents and items that have one, on those alignments only.
-    held = index.join(alignments.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = tokens.join(alignments.select("item_id").distinct(), "item_id", "left_semi").withColumnRenamed("pos", "item_pos")
-    lined = held.join(asked, "term").select("item_id", "need", "doc_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
-    lined = lined.join(alignments, ["item_id", "doc_id", "shift"], "left_semi")
+    # The postings that lie on an alignment; both sides meet in stretches of the document, so a document that
+    # holds very many passages costs no more than its length.
+    lengths = tokens.groupBy("item_id", "need").agg(F.max("pos").alias("top"))
+    reach = F.sequence(F.floor(F.greatest("shift", F.lit(0)) / _STRETCH), F.floor((F.col("shift") + F.col("top")) / _STRETCH))
+    cells = alignments.join(lengths, "item_id").select("item_id", "need", "top", "doc_id", "shift", F.explode(reach).alias("cell"))
+    on = index.withColumn("cell", F.floor(F.col("pos") / _STRETCH)).join(cells, ["doc_id", "cell"]).withColumn("item_pos", F.col("pos") - F.col("shift"))
+    on = on.where(F.col("item_pos").between(0, F.col("top"))).select("item_id", "need", "doc_id", "shift", "item_pos", "term")
+    lined = on.join(tokens.select("item_id", F.col("pos").alias("item_pos"), "term"), ["item_id", "item_pos", "term"])
     per = lined.groupBy("item_id", "need", "doc_id", "shift").agg(F.array_sort(F.collect_set("item_pos")).alias("p"))
     longest = F.expr(
         "aggregate(p, struct(0 as best, 0 as run, -2 as last), (a, x) -> struct("

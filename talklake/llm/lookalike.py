@@ -34,7 +34,8 @@ PRESENTATION_RANGES = [(0x0132, 0x0133), (0x01C4, 0x01CC), (0x0E33, 0x0E33), (0x
 PRESENTATION_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
 #: Signs that must never become equal to their plain relatives.
 KEPT_APART = ["²2", "³3", "₂2", "①1", "½1/2", "ıi", "№No", "–-", "—-", "’'", "“\"", "éе", "ß8", "Оo", "0O", "1l", "。."]
-_LAST = 0x1FFFF  # planes beyond hold no sign that a rule rewrites
+_LAST = 0x10000  # beyond it only the invisible tags below are rewritten; classes of one plane are searched fast
+_TAGS = "\U000e0000-\U000e0fff"
 
 
 def _blank(ch: str) -> bool:
@@ -103,6 +104,7 @@ class Transducer:
         # Longest cluster first: runs of blanks, a base with its accents, then single signs.
         self._single = {c: t for c, t in self.rules.items()} | {chr(c): " " for c in blanks if c != 0x20}
         self._clusters = re.compile(f"[{ig}{mk}]")
+        self._tags = re.compile(f"[{_TAGS}]+")
         self._runs = re.compile(" {2,}")
         self._pattern = re.compile(f"[{bl}{ig}]{{2,}}|[^{bl}{ig}{mk}][{ig}]*[{mk}][{ig}{mk}]*|[{single}]|[{other}{ig}]")
         self._has_blank = re.compile(f"[{bl}]")
@@ -138,10 +140,16 @@ class Transducer:
             if self.apply(pair[0]) == self.apply(pair[1:]):
                 raise ValueError(f"{pair!r} must stay different")
 
+    def joins(self, sign: str) -> bool:
+        """Whether a sign may be part of a cluster of several: an accent or something unseen."""
+        return self._clusters.match(sign) is not None
+
     def apply(self, text: str) -> str:
         """The consistent form of ``text``."""
         if text.isascii():
             return self._ascii.sub(lambda m: " " if self._has_blank.search(m[0]) else "", text).strip(" ")
+        if max(text) >= "\U000e0000":
+            text = self._tags.sub("", text)
         if not self._clusters.search(text):
             # Every cluster is a single sign: rewrite each distinct sign that has a rule.
             for sign in self._single.keys() & set(text):
