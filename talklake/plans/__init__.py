@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["p3_intervals"]
+MODULES = ["p3_intervals", "interval_queries"]
 
 
 def queries() -> dict:
