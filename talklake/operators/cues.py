@@ -45,6 +45,7 @@ def repair_ranges(cues: DataFrame, candidates: DataFrame, durations: DataFrame,
     both = (
         cues.select(key, "start_ms", "end_ms", F.lit(None).cast("string").alias("reason"))
         .unionByName(candidates.select(key, "start_ms", "end_ms", "reason"))
+        .where(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
         .join(durations.where(F.col("duration_ms") > 0).select(key, "duration_ms"), key)
     )
     cut = both.select(key, F.greatest("start_ms", F.lit(0)).alias("start_ms"), F.least("end_ms", "duration_ms").alias("end_ms"), "reason").where(F.col("end_ms") > F.col("start_ms"))

@@ -91,12 +91,12 @@ def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segment of every chapter: the named one, else the last in list order that begins by the chapter's second, else the first."""
+    """Segment of every chapter: the named one, else the last in list order that begins by the chapter's second (no start counts as 0), else the first."""
     s = segments(spark, sf_dir).select("episode_id", "idx", "id", "start_ms")
     c = _chapters(spark, sf_dir)
     named = c.join(s.select("episode_id", F.col("id").alias("segment_id"), F.col("idx").alias("named")), ["episode_id", "segment_id"], "left")
     second = lambda x: F.floor(F.greatest(x, F.lit(0)) / 1000).cast("long")
-    points = s.where("start_ms is not null").select("episode_id", second(F.col("start_ms")).alias("t"), F.lit(0).alias("kind"), F.col("idx").alias("v"), F.col("id").alias("o"))
+    points = s.select("episode_id", second(F.coalesce("start_ms", F.lit(0))).alias("t"), F.lit(0).alias("kind"), F.col("idx").alias("v"), F.col("id").alias("o"))
     asks = named.select("episode_id", second(F.coalesce("at_ms", F.lit(0))).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("v"), F.col("chapter_id").alias("o"))
     shard = F.floor(F.col("t") / 600).cast("long")
     latest = prefix(points.unionByName(asks), ["episode_id"], shard, ["t", "kind", "o"], {"best": ("max", "v")}).where("kind = 1").select("episode_id", F.col("o").alias("chapter_id"), "best")
@@ -195,7 +195,7 @@ SELECT episode_id, reference::INTEGER AS reference, speaker_id, id AS segment_id
     "asof_target": f"""WITH {SEGMENTS}, {_CH}
 SELECT ch.episode_id, ch.chapter_id, coalesce(max(n.idx), max(s.idx), 0) AS segment_idx FROM ch
 LEFT JOIN sg n ON n.episode_id = ch.episode_id AND n.id = ch.segment_id
-LEFT JOIN sg s ON s.episode_id = ch.episode_id AND greatest(s.start_ms, 0) // 1000 <= greatest(coalesce(ch.at_ms, 0), 0) // 1000 GROUP BY ALL""",
+LEFT JOIN sg s ON s.episode_id = ch.episode_id AND greatest(coalesce(s.start_ms, 0), 0) // 1000 <= greatest(coalesce(ch.at_ms, 0), 0) // 1000 GROUP BY ALL""",
     "containing_else_next": f"""WITH {SEGMENTS}, {_CH}, q AS (SELECT * FROM sg WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL)
 SELECT episode_id, chapter_id, coalesce(
  (SELECT min(idx) FROM q WHERE q.episode_id = ch.episode_id AND q.start_ms <= ch.at_ms AND ch.at_ms < q.end_ms),
