@@ -99,7 +99,7 @@ PAGE_SHARD = 65_536
 
 
 def next_fit(
-    rows: DataFrame, key: str, rank_col: str, size: str, max_size: int, max_rows: int, start: str | None = None, end: str | None = None, max_span: float | None = None
+    rows: DataFrame, key: str, rank_col: str, size: str, max_size: int, max_rows: int, start: str | None = None, end: str | None = None, max_span: float | None = None, shard: int = PAGE_SHARD
 ) -> DataFrame:
     """(key, page, first_rank, last_rank, page_size): greedy pages of consecutive rows.
 
@@ -108,11 +108,13 @@ def next_fit(
     begins at a row ends depends on at most ``max_rows`` rows after it, so that is found shard by shard; a shard
     then maps each possible entry to the entry of the next, and only these maps are followed in order. Null sizes count 0.
     """
+    if shard < max_rows:
+        raise ValueError("a shard must hold a page")
     span = start is not None and end is not None and max_span is not None
     cols = [F.col(key).alias("_k"), F.col(rank_col).cast("long").alias("_r"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_s")]
     cols += [F.col(start).cast("double").alias("_a"), F.col(end).cast("double").alias("_e")] if span else []
-    base = rows.select(*cols).withColumn("_h", F.floor(F.col("_r") / PAGE_SHARD).cast("long"))
-    ahead = base.where((F.col("_r") % PAGE_SHARD < max_rows) & (F.col("_h") > 0)).withColumn("_h", F.col("_h") - 1)
+    base = rows.select(*cols).withColumn("_h", F.floor(F.col("_r") / shard).cast("long"))
+    ahead = base.where((F.col("_r") % shard < max_rows) & (F.col("_h") > 0)).withColumn("_h", F.col("_h") - 1)
     shards = base.unionByName(ahead)
 
     def follow(pdf: pd.DataFrame) -> tuple[int, list[int], list[int]]:
@@ -120,7 +122,7 @@ def next_fit(
         pdf = pdf.sort_values("_r")
         ranks, sizes = pdf["_r"].tolist(), pdf["_s"].tolist()
         first, n = ranks[0], len(ranks)
-        limit = (pdf["_h"].iloc[0] + 1) * PAGE_SHARD - first
+        limit = (pdf["_h"].iloc[0] + 1) * shard - first
         a, e = (pdf["_a"].tolist(), pdf["_e"].tolist()) if span else ([], [])
         nxt, j, total = [], 0, 0
         for i in range(min(n, limit)):
@@ -151,7 +153,7 @@ def next_fit(
         to = dict(zip(pdf["entry"], pdf["leave"], strict=True))
         at, seen = 0, []
         while at in to:
-            seen.append((pdf["_k"].iloc[0], at // PAGE_SHARD, at))
+            seen.append((pdf["_k"].iloc[0], at // shard, at))
             at = to[at]
         return pd.DataFrame(seen, columns=["_k", "_h", "entry"])
 
@@ -170,5 +172,5 @@ def next_fit(
         return pd.DataFrame(out, columns=names)
 
     cut = shards.groupBy("_k", "_h").cogroup(entered.groupBy("_k", "_h")).applyInPandas(pages, f"_k {kind}, first_rank long, last_rank long, page_size long")
-    numbered = rank(cut, ["_k"], F.floor(F.col("first_rank") / PAGE_SHARD).cast("long"), ["first_rank"], "page")
+    numbered = rank(cut, ["_k"], F.floor(F.col("first_rank") / shard).cast("long"), ["first_rank"], "page")
     return numbered.select(F.col("_k").alias(key), "page", "first_rank", "last_rank", "page_size")
