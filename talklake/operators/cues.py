@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talklake.operators.intervals import SHARD_MS, interval_gaps
 from talklake.operators.runs import mark_runs
 from talklake.operators.sequence import idx_shard, islands, prefix
+from talklake.runtime import ensure_checkpoint_dir
 
 
 def time_shard(col: str = "start_ms") -> Column:
@@ -52,7 +53,9 @@ def repair_ranges(cues: DataFrame, candidates: DataFrame, durations: DataFrame,
     # Equal rows are kept once with their number, which makes the order total.
     counted = cut.groupBy(key, "start_ms", "end_ms", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     order = ["start_ms", "end_ms", "reason"]
-    marked = islands(counted, [key], "start_ms", "end_ms", time_shard(), order, touching=False)
+    # Both sets of islands read their input several times; it is written once to the shared checkpoint folder.
+    ensure_checkpoint_dir(cues.sparkSession)
+    marked = islands(counted.checkpoint(), [key], "start_ms", "end_ms", time_shard(), order, touching=False)
     own = F.col("reason") == ""
     grown = (
         marked.groupBy(key, "island")
@@ -63,7 +66,7 @@ def repair_ranges(cues: DataFrame, candidates: DataFrame, durations: DataFrame,
         .where(F.size("reasons") > 0)
         .drop("island")
     )
-    merged = islands(grown, [key], "start_ms", "end_ms", time_shard(), ["start_ms", "end_ms"], touching=True)
+    merged = islands(grown.checkpoint(), [key], "start_ms", "end_ms", time_shard(), ["start_ms", "end_ms"], touching=True)
     return merged.groupBy(key, "island").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"), F.sum("cues").cast("long").alias("cues"),
