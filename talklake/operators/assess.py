@@ -49,7 +49,7 @@ def assess(cues: DataFrame, tracks: DataFrame, wanted: str) -> DataFrame:
     cover = coverage(plain, k).select(k, "covered_ms")
     tolerance = gap_tolerance(plain, k)
     holes = interval_gaps(plain, [k]).join(tolerance, k).where(F.col("gap_end_ms") - F.col("gap_start_ms") >= F.col("tolerance_ms"))
-    edge = F.greatest(F.lit(8_000), F.least(F.lit(30_000), F.col("duration_ms") * 0.02))
+    edge = F.when(F.col("duration_ms").isNotNull(), F.greatest(F.lit(8_000), F.least(F.lit(30_000), F.col("duration_ms") * 0.02)))
     ends = per.join(t, k).where(F.col("duration_ms").isNotNull())
     cand = (
         read.where(low).select(k, "start_ms", "end_ms", F.lit("low_confidence").alias("reason"))
@@ -84,7 +84,7 @@ def assess(cues: DataFrame, tracks: DataFrame, wanted: str) -> DataFrame:
         "low_confidence": yes(F.col("low")),
         "excessive_overlap": yes(F.col("raw_ms") - F.col("covered_ms") > 0.20 * F.col("raw_ms")),
         "sparse_long_cue": yes(F.col("sparse_long")),
-        "sparse_text": yes((chars * 1000 < MIN_DENSITY * d) | (chars < F.least(F.lit(8), d / 1000))),
+        "sparse_text": d.isNotNull() & yes((chars * 1000 < MIN_DENSITY * d) | (chars < F.least(F.lit(8), d / 1000))),
         "sparse_cues": yes((d >= 120_000) & (F.col("cues") < F.ceil(d / 60_000))),
         "missing_start": yes(F.col("first_ms") > edge),
         "missing_end": yes(d - F.col("last_ms") > edge),

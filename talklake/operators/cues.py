@@ -34,7 +34,7 @@ def gap_tolerance(rows: DataFrame, key: str, low: int = 12_000, high: int = 30_0
     told = prefix(timed, [key], idx_shard(), [F.col("idx").asc_nulls_last(), "id"], {"_before": ("lag", "end_ms")})
     pause = F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0), F.col("start_ms") - F.col("_before")))
     middle = told.groupBy(key).agg(F.median(pause).alias("m"))
-    return middle.select(key, F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.col("m") * factor)), F.lit(low)).cast("long").alias("tolerance_ms"))
+    return middle.select(key, F.when(F.col("m").isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), F.col("m") * factor))).otherwise(low).cast("long").alias("tolerance_ms"))
 
 
 def repair_ranges(cues: DataFrame, candidates: DataFrame, durations: DataFrame, key: str) -> DataFrame:

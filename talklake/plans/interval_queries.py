@@ -158,7 +158,7 @@ QUERIES = {
 _TOL = """
 pz AS (SELECT doc_id, CASE WHEN lag(end_ms) OVER w IS NOT NULL THEN greatest(0, start_ms - lag(end_ms) OVER w) END AS p
        FROM cu WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY idx, id)),
-tol AS (SELECT doc_id, coalesce(greatest(12000, least(30000, median(p) * 8)), 12000)::BIGINT AS tolerance_ms FROM pz GROUP BY doc_id)"""
+tol AS (SELECT doc_id, (CASE WHEN median(p) IS NULL THEN 12000 ELSE greatest(12000, least(30000, median(p) * 8)) END)::BIGINT AS tolerance_ms FROM pz GROUP BY doc_id)"""
 _GRP = f"""SELECT doc_id, idx AS group_idx, {sql_ms('"start"')} AS a, {sql_ms('"end"')} AS b FROM report_groups WHERE status <> 'match'"""
 _CH = f"""ch AS (SELECT DISTINCT episode_id, id AS chapter_id, segment_id, {sql_ms('"start"')} AS at_ms FROM chapters)"""
 
