@@ -179,9 +179,7 @@ def item_tokens(items: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id") -> DataFrame:
-    """(term, doc_id, pos) of all documents for the given tokens (sorted, at most MAX_TERMS)."""
-    if len(terms) > MAX_TERMS:
-        raise ValueError("too many tokens at once; look the items up in blocks")
+    """(term, doc_id, pos) of all documents for the given tokens (sorted; shared_passages keeps them within MAX_TERMS)."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,19 +225,22 @@ def shared_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     tokens = item_tokens(items).checkpoint()
-    total = tokens.count()
-    blocks = max(1, -(-total // MAX_TERMS))
-    parts = []
-    for b in range(blocks):
-        part = tokens if blocks == 1 else tokens.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        terms = np.unique(np.array([r.term for r in part.select("term").distinct().collect()], np.int64))  # at most MAX_TERMS
-        parts.append(_passages(docs, part, terms))
+    parts = [_passages(docs, part, terms) for part, terms in _blocks(tokens, 1, 0)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _blocks(tokens: DataFrame, of: int, number: int) -> list[tuple[DataFrame, np.ndarray]]:
+    """The items in blocks whose distinct tokens are at most MAX_TERMS, with those tokens; a single item is never divided."""
+    part = tokens if of == 1 else tokens.where(F.pmod(F.xxhash64("item_id"), F.lit(of)) == number)
+    distinct = part.select("term").distinct()
+    if distinct.count() > MAX_TERMS and part.select("item_id").distinct().limit(2).count() > 1:
+        return _blocks(tokens, of * 2, number) + _blocks(tokens, of * 2, number + of)
+    return [(part, np.sort(np.array([r.term for r in distinct.collect()], np.int64)))]  # bounded by MAX_TERMS or one item
+
+
 def _passages(docs: DataFrame, tokens: DataFrame, terms: np.ndarray) -> DataFrame:
     index = postings(docs, terms).checkpoint()  # the stored index
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))

@@ -82,13 +82,15 @@ class Transducer:
                 blanks.append(cp)
             elif _unseen(cp, cat):
                 unseen.append(cp)
-            elif cat in ("Mn", "Mc", "Me"):
-                marks.append(cp)
+            elif cat in ("Mn", "Mc", "Me") or 0x1161 <= cp <= 0x11FF:
+                marks.append(cp)  # accents, and the later letters of a Korean syllable
             elif parts := unicodedata.decomposition(ch).split():
                 if parts[0] in PRESENTATION_TAGS or parts[0] == "<compat>" and any(a <= cp <= b for a, b in PRESENTATION_RANGES):
                     plain = "".join(chr(int(x, 16)) for x in parts[1:])
                     if not any(_blank(x) for x in plain):
                         self._add(base, ch, plain)
+                        if all(unicodedata.combining(x) for x in plain):
+                            marks.append(cp)  # a presentation form of an accent
                 elif not parts[0].startswith("<"):
                     composed.append(ch)
         blanks += [*range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F, 0x20]

@@ -13,6 +13,7 @@ import os
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def differencing(sizes: Sequence[int], windows: int) -> list[tuple[int, list[int
 
 
 def pack_items(sizes: Sequence[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Windows of at most ``capacity``: the window count starts at the least possible and rises while one is too full.
+    """Windows of at most ``capacity``: the window count starts at the least possible and rises while one stays too full.
 
     An item larger than the capacity is an error; items of size 0 go anywhere; no items give no windows.
     """
@@ -103,13 +104,54 @@ def pack_items(sizes: Sequence[int], capacity: int) -> list[tuple[int, list[int]
         return []
     windows = max(1, -(-sum(sizes) // capacity))
     while True:
-        out = differencing(sizes, windows)
+        out = relieve(differencing(sizes, windows), sizes, windows, capacity)
         excess = sum(max(0, s - capacity) for s, _ in out)
         if not excess:
             return out
         windows += max(1, excess // (2 * capacity))
 
 
+def relieve(parts: list[tuple[int, list[int]]], sizes: Sequence[int], windows: int, capacity: int) -> list[tuple[int, list[int]]]:
+    """Exchanges items of windows that are too full with smaller ones (or nothing) of windows with room, as long as that helps."""
+    if all(s <= capacity for s, _ in parts):
+        return parts
+    n = len(sizes)
+    size = np.concatenate([np.asarray(sizes, np.int64), np.zeros(windows, np.int64)])  # each window also offers nothing in exchange
+    home = np.empty(n + windows, np.int64)
+    home[n:] = np.arange(windows)
+    total = np.zeros(windows, np.int64)
+    for w, (s, items) in enumerate(parts):
+        total[w] = s
+        home[items] = w
+    for w in np.flatnonzero(total > capacity):
+        while total[w] > capacity:
+            over, best = total[w] - capacity, None
+            for a in np.flatnonzero(home[:n] == w):
+                gain = size[a] - size
+                good = (gain > 0) & (gain <= capacity - total[home]) & (home != w)
+                if not good.any():
+                    continue
+                # The smallest exchange that is enough, else the largest there is.
+                rank = np.where(good, np.where(gain >= over, gain, 4 * capacity - gain), 9 * capacity)
+                b = int(rank.argmin())
+                if best is None or rank[b] < best[0]:
+                    best = (rank[b], a, b)
+            if best is None:
+                break
+            _, a, b = best
+            u, gain = home[b], size[a] - size[b]
+            home[a] = u
+            if b < n:
+                home[b] = w
+            total[w] -= gain
+            total[u] += gain
+    out: list[tuple[int, list[int]]] = []
+    order = np.argsort(home[:n], kind="stable")
+    for items in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+        out.append((int(size[items].sum()), items.tolist()))
+    return out
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, start_pos, end_pos, n_tokens) of all texts; null and empty texts have none."""
 

@@ -149,7 +149,7 @@ def _stop_ends(text: str, start: int, at: int, end: int) -> bool:
         if body.isdigit():
             if first.isupper():
                 m = re.match(r"\w+", text[pos : pos + 12])
-                if m and m[0] in MONTHS:
+                if m and m[0].capitalize() in MONTHS:
                     return False
             if not text[start : at - len(word)].strip():
                 return False  # the number of a list item
