@@ -191,3 +191,40 @@ def identifier(col: str | Column) -> Column:
 def fingerprint(*cols: str | Column) -> Column:
     """Digest of several values; nulls are kept apart from empty strings."""
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+
+
+def deep_link(url: str | Column, start: str | Column, host: str) -> Column:
+    """The address with query value ``t`` set to whole seconds for one host and its subdomains; other addresses stay as they are."""
+    u = safe_url(url)
+    ours = F.coalesce(F.lower(F.try_parse_url(u, F.lit("HOST"))).rlike(r"^([a-z0-9-]+\.)*" + host.replace(".", r"\.") + "$"), F.lit(False))
+    base, mark = F.split_part(u, F.lit("#"), F.lit(1)), F.when(F.contains(u, F.lit("#")), F.regexp_extract(u, "(#.*)$", 1)).otherwise("")
+    path, query = F.split_part(base, F.lit("?"), F.lit(1)), F.when(F.contains(base, F.lit("?")), F.regexp_extract(base, r"\?(.*)$", 1)).otherwise("")
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^t(=|$)"))
+    new = F.concat(path, F.lit("?"), F.array_join(F.concat(kept, F.array(F.concat(F.lit("t="), seconds(start).cast("string")))), "&"), mark)
+    return F.when(ours, new).otherwise(u)
+
+
+def minutes_label(col: str | Column) -> Column:
+    """Duration in whole minutes, rounded up; unknown and zero lengths give 0."""
+    c = _c(col)
+    ok = c.isNotNull() & ~F.isnan(c) & (c > 0) & (c < F.lit(9e15))
+    return F.coalesce(F.when(ok, F.ceil(c / 60).cast("long")), F.lit(0).cast("long"))
+
+
+def date_label(col: str | Column) -> Column:
+    """The day of a date text with dots; compact dates (YYYYMMDD) are read too, other texts give null."""
+    c = _c(col)
+    day = F.when(c.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))).otherwise(F.left(c, F.lit(10)))
+    return F.when(F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.replace(day, F.lit("-"), F.lit(".")))
+
+
+def has_control(col: str | Column, strict: bool = False) -> Column:
+    """Whether a text has control characters; strict also finds format and surrogate characters."""
+    return F.coalesce(_c(col).rlike(r"[\p{Cc}\p{Cf}\p{Cs}]" if strict else r"[\x00-\x1f\x7f]"), F.lit(False))
+
+
+def version_key(col: str | Column) -> Column:
+    """Array under which versions sort: the numbers of a dotted version, without zeros at the end; null if a part has no number."""
+    parts = F.transform(F.split(F.regexp_replace(_c(col), "^v", ""), r"\."), lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("int"))
+    last = F.array_max(F.transform(parts, lambda p, i: F.when(p != 0, i + 1).otherwise(0)))
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.slice(parts, 1, F.coalesce(last, F.lit(0))))

@@ -64,3 +64,26 @@ def search_parts(parts: DataFrame, key: str, text: str, query: str) -> DataFrame
     for i in range(len(terms)):
         found = found.where(f"_t{i}")
     return found.select(key)
+
+
+# Bounds of a catalogue.
+MAX_ROWS, MAX_SOURCES = 5_000, 20
+
+
+def catalog_problems(catalog: DataFrame, reserved: list[str]) -> DataFrame:
+    """(id, problem) of catalogue rows (id, title, aliases, sources): id_invalid, id_repeated, title_blank, name_reserved, name_taken, sources_count.
+
+    Names are compared as name_key over all rows; a name that one row has twice is also taken. Too many rows give one row with id null.
+    """
+    ident = F.coalesce(F.col("id").rlike("^[A-Za-z0-9_-]{1,100}$"), F.lit(False))
+    size = F.coalesce(F.size("sources"), F.lit(0))
+    own = catalog.select(
+        "id",
+        F.explode(F.array_compact(F.array(F.when(~ident, F.lit("id_invalid")), F.when(F.coalesce(name_key("title"), F.lit("")) == "", F.lit("title_blank")), F.when((size < 1) | (size > MAX_SOURCES), F.lit("sources_count"))))).alias("problem"),
+    )
+    twice = catalog.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit("id_repeated").alias("problem"))
+    names = catalog.select("id", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("id", name_key("n").alias("_name")).where("_name <> ''")
+    shared = names.groupBy("_name").agg(F.count(F.lit(1)).alias("c"), F.collect_set("id").alias("ids")).where("c > 1").select(F.explode("ids").alias("id"), F.lit("name_taken").alias("problem"))
+    kept = names.where(F.col("_name").isin([r.casefold() for r in reserved])).select("id", F.lit("name_reserved").alias("problem"))
+    many = catalog.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_ROWS).select(F.lit(None).cast("string").alias("id"), F.lit("too_many_rows").alias("problem"))
+    return own.unionByName(twice).unionByName(shared).unionByName(kept).unionByName(many).distinct()

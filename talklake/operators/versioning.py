@@ -77,3 +77,13 @@ def evictable(media: DataFrame, owners: DataFrame, cutoff: Column) -> DataFrame:
         .when(F.col("last_used") > cutoff, "recent").when(F.col("_n").isNull(), "unowned").otherwise("expired")
     )
     return told.select("path", reason.alias("reason"))
+
+
+def compare_versions(before: DataFrame, after: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(keys, changed): the names of the fields that differ between two versions of a row; added and removed rows name themselves so."""
+    l = before.select(*keys, F.struct(*fields).alias("_l"))  # noqa: E741
+    r = after.select(*keys, F.struct(*fields).alias("_r"))
+    met = l.join(r, list(keys), "full")
+    names = F.array_compact(F.array(*[F.when(~F.col(f"_l.{f}").eqNullSafe(F.col(f"_r.{f}")), F.lit(f)) for f in fields]))
+    changed = F.when(F.col("_l").isNull(), F.array(F.lit("added"))).when(F.col("_r").isNull(), F.array(F.lit("removed"))).otherwise(names)
+    return met.select(*keys, changed.alias("changed")).where(F.size("changed") > 0)

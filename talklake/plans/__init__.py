@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["p3_intervals", "interval_queries", "turn_queries", "text_queries", "check_queries", "page_queries", "library_queries", "track_queries"]
+MODULES = ["p3_intervals", "interval_queries", "turn_queries", "text_queries", "check_queries", "page_queries", "library_queries", "track_queries", "more_queries"]
 
 
 def queries() -> dict:
