@@ -238,7 +238,7 @@ def _blocks(tokens: DataFrame, of: int, number: int) -> list[tuple[DataFrame, np
     distinct = part.select("term").distinct()
     if distinct.count() > MAX_TERMS and part.select("item_id").distinct().limit(2).count() > 1:
         return _blocks(tokens, of * 2, number) + _blocks(tokens, of * 2, number + of)
-    return [(part, np.sort(np.array([r.term for r in distinct.collect()], np.int64)))]  # bounded by MAX_TERMS or one item
+    return [(part, np.sort(distinct.toArrow().column(0).to_numpy().astype(np.int64)))]  # bounded by MAX_TERMS or one item
 
 
 def _passages(docs: DataFrame, tokens: DataFrame, terms: np.ndarray) -> DataFrame:

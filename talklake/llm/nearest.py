@@ -1,10 +1,10 @@
 """Nearest-in-time pairing by expanding rings (problem 5).
 
-Both sides are cut into time buckets. A left row looks into its own bucket and, of the two neighbours, only at
-their nearest ends; within one bucket width the best of these is provably the nearest. Left rows that
-found nothing that near go on to buckets of twice the width, until the width reaches the tolerance. The right side is
-reduced to one row per bucket before it is joined, so a left row meets one row per ring: no pairs are emitted,
-and a key that holds most rows is spread over its buckets.
+Each ring has a radius. Time is cut twice into buckets of four radii, the second cut shifted by half a bucket, so that every
+moment lies at least one radius inside a bucket of one of the two cuts. A left row looks into that bucket only: within
+the radius the best of its rows is provably the nearest. Left rows that found nothing that near go on to a ring of twice the radius,
+until it reaches the tolerance. The right side is reduced to one row per bucket before it is joined, so a left row meets one row per
+ring: no pairs are emitted, and a key that holds most rows is spread over its buckets.
 """
 
 from __future__ import annotations
@@ -16,33 +16,22 @@ from pyspark.sql import functions as F
 
 
 def widths(first_ms: int, tolerance_ms: int) -> list[int]:
-    """Ring widths: doubled from the first until the tolerance is reached (the last one equals it)."""
+    """Ring radii: doubled from the first until the tolerance is reached (the last one equals it)."""
     out = [max(1, min(first_ms, tolerance_ms))]
     while out[-1] < tolerance_ms:
         out.append(min(out[-1] * 2, tolerance_ms))
     return out
 
 
-def _buckets(right: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """(keys, bucket, own, before, after): the bucket's candidates, the last before it and the first after it."""
-    b = F.floor(F.col("_at") / F.lit(width)).cast("long")
-    per = right.groupBy(*keys, b.alias("_b")).agg(F.collect_list(F.struct("_at", "_value")).alias("own"))
-    per = per.withColumns({"lo": F.array_min("own"), "hi": F.array_max("own")})
-    none = F.lit(None)
-    kind = per.schema["own"].dataType.simpleString()
-    one = per.schema["lo"].dataType.simpleString()
-    spread = F.explode(
-        F.array(
-            F.struct(F.col("_b").alias("b"), F.col("own").alias("own"), none.cast(one).alias("before"), none.cast(one).alias("after")),
-            F.struct((F.col("_b") + 1).alias("b"), none.cast(kind).alias("own"), F.col("hi").alias("before"), none.cast(one).alias("after")),
-            F.struct((F.col("_b") - 1).alias("b"), none.cast(kind).alias("own"), none.cast(one).alias("before"), F.col("lo").alias("after")),
-        )
-    )
-    return per.select(*keys, spread.alias("x")).groupBy(*keys, F.col("x.b").alias("_b")).agg(
-        F.first("x.own", ignorenulls=True).alias("own"),
-        F.first("x.before", ignorenulls=True).alias("before"),
-        F.first("x.after", ignorenulls=True).alias("after"),
-    )
+def _cell(time: str, radius: int, shifted: int) -> Column:
+    """Number of the bucket; those of the shifted cut are odd."""
+    return (F.floor((F.col(time) + F.lit(2 * radius * shifted)) / F.lit(4 * radius)) * 2 + shifted).cast("long")
+
+
+def _buckets(right: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
+    """(keys, _rb, own): the candidates of every bucket of both cuts."""
+    both = F.explode(F.array(_cell("_at", radius, 0), _cell("_at", radius, 1)))
+    return right.select(*keys, both.alias("_rb"), F.struct("_at", "_value").alias("x")).groupBy(*keys, "_rb").agg(F.collect_list("x").alias("own"))
 
 
 def nearest_in_time(
@@ -79,18 +68,16 @@ def nearest_in_time(
     done = [todo.where(blind).select("_row", F.lit(None).cast(value_type).alias(out))]
     todo = todo.where(~blind)
     rings = widths(first_ms, tolerance_ms)
-    for n, width in enumerate(rings):
-        buckets = _buckets(r, keys, width).select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.col("_b").alias("_rb"), "own", "before", "after")
+    for n, radius in enumerate(rings):
+        buckets = _buckets(r, keys, radius).select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_rb", "own")
+        # The cut in which the row's moment lies in the middle half of its bucket.
+        middle = F.pmod(F.col("_t"), F.lit(4 * radius)).between(radius, 3 * radius - 1)
+        cell = F.when(middle, _cell("_t", radius, 0)).otherwise(_cell("_t", radius, 1))
         on = [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(keys))] + [F.col("_b") == F.col("_rb")]
-        joined = todo.withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("long")).join(buckets, on, "left")
+        joined = todo.withColumn("_b", cell).join(buckets, on, "left")
         near = lambda c: F.struct(F.abs(c["_at"] - F.col("_t")).alias("d"), c["_at"].alias("_at"), c["_value"].alias("v"))
-        best = F.least(
-            F.array_min(F.transform("own", near)),
-            F.when(F.col("before").isNotNull(), near(F.col("before"))),
-            F.when(F.col("after").isNotNull(), near(F.col("after"))),
-        )
-        ranked = joined.select("_row", *[f"_k{i}" for i in range(len(keys))], "_t", best.alias("best"))
-        hit = F.coalesce(F.col("best.d") <= F.lit(width), F.lit(False))
+        ranked = joined.select("_row", *[f"_k{i}" for i in range(len(keys))], "_t", F.array_min(F.transform("own", near)).alias("best"))
+        hit = F.coalesce(F.col("best.d") <= F.lit(radius), F.lit(False))
         if n == len(rings) - 1:
             done.append(ranked.select("_row", F.when(hit, F.col("best.v")).alias(out)))
         else:
