@@ -11,6 +11,7 @@ from talklake.operators.sequence import idx_shard
 from talklake.operators.turns import reading_turns, turn_text
 from talklake.operators.versioning import apply_patch, evictable, reconcile, retain, valid_receipts, with_fingerprint
 from talklake.plans.base import SEGMENTS, segments, tracks
+from talklake.plans.turn_queries import TURN_TEXTS
 from talklake.runtime import table
 
 
@@ -202,4 +203,11 @@ SELECT CASE WHEN event_id % 17 = 0 THEN 'removed' WHEN event_id % 13 = 0 THEN 'e
 WHEN epoch_us(ts) > cut THEN 'recent' WHEN event_type = 'view' THEN 'unowned' ELSE 'expired' END AS reason, count(*) AS files FROM events, c GROUP BY 1""",
     "classify_references": """WITH e AS (SELECT DISTINCT ON (id) id, series, "references" AS r FROM episodes)
 SELECT id, (len(list_filter(coalesce(r, []), lambda x: coalesce(x.note, '') <> 'series')) + CASE WHEN series.id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS references_after, series.id IS NOT NULL OR r IS NULL OR len(list_filter(r, lambda x: coalesce(x.note, '') = 'series')) > 0 AS changed FROM e""",
+    "markdown_lines": TURN_TEXTS + r""", md AS (SELECT episode_id, 3 AS block, first_idx::BIGINT AS line_no, part, text AS l FROM tt
+UNION ALL SELECT id, 0, 0, 0, trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g')) FROM (SELECT DISTINCT ON (id) * FROM episodes)
+UNION ALL SELECT DISTINCT episode_id, 2, idx, 0, trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g')) || chr(0) || printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60)
+ FROM (SELECT *, CASE WHEN "start" IS NOT NULL AND isfinite("start") AND "start" >= 0 THEN floor("start")::BIGINT ELSE 0 END AS s FROM chapters)
+UNION ALL SELECT DISTINCT episode_id, 1, idx, 0, name || chr(0) || role FROM speakers),
+es AS (SELECT *, """ + _ESC.format("split_part(l, chr(0), 1)") + """ AS x, split_part(l, chr(0), 2) AS y FROM md)
+SELECT episode_id, block, line_no, part, CASE block WHEN 0 THEN '# ' || x WHEN 1 THEN '- ' || x || CASE WHEN y <> '' THEN ' · ' || y ELSE '' END WHEN 2 THEN '- ' || y || ' ' || x ELSE x END AS line FROM es""",
 }

@@ -11,7 +11,7 @@ from talklake.operators.chunks import plan_problems, stitch
 from talklake.operators.frames import spans, without_static
 from talklake.operators.versioning import compare_versions
 from talklake.plans.base import SEGMENTS, segments, sql_ms, timed
-from talklake.plans.page_queries import chunk_plan
+from talklake.plans.page_queries import CHUNK_KINDS, chunk_plan
 from talklake.runtime import finite, millis, table
 
 
@@ -150,4 +150,9 @@ SELECT episode_id, idx, id FROM r WHERE n <= 5""",
 SELECT 'bad id' AS id, 'id_invalid' AS problem UNION ALL SELECT 'n4', 'id_repeated' UNION ALL SELECT id, 'sources_count' FROM c WHERE k % 6 = 0 UNION ALL SELECT 'n7', 'name_reserved'
 UNION ALL SELECT 'n7', 'name_taken' FROM c WHERE t = 'brazil' AND k <> 7 UNION ALL SELECT id, 'name_taken' FROM c WHERE t = 'brazil' AND k <> 7""",
     "finite_confidence": "SELECT CASE WHEN confidence IS NULL THEN 'none' WHEN NOT isfinite(confidence) THEN 'not_finite' WHEN confidence < 0 THEN 'negative' ELSE 'valid' END AS state, count(*) AS cues FROM cues GROUP BY 1",
+    "chunk_check": CHUNK_KINDS,
+    "three_fingerprints": """SELECT id, count(DISTINCT (id, title, description, duration_seconds, summary, status, revision, artifacts::VARCHAR)) AS whole, count(DISTINCT (id, title, description, duration_seconds, summary, status, revision)) AS edited,
+count(DISTINCT (id, title, description, duration_seconds, summary, status)) AS reviewed FROM episodes GROUP BY id""",
+    "frame_spans": """WITH a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) AND event_id - lag(event_id) OVER (ORDER BY event_id) = 1 THEN 0 ELSE 1 END AS f FROM events),
+b AS (SELECT *, sum(f) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS r FROM a) SELECT event_type AS text, count(DISTINCT r) AS spans, count(*) AS samples FROM b GROUP BY event_type""",
 }

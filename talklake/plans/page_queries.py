@@ -98,3 +98,14 @@ ORACLE = {
 }
 ORACLE["chapter_pages"] = ORACLE["reader_pages"].removesuffix(_PAGES) + f""", w AS (SELECT episode_id, id, {_R} FROM sg)
 SELECT DISTINCT c.episode_id, c.id AS chapter_id, g.page, w.r AS segment_index FROM chapters c JOIN w ON w.episode_id = c.episode_id AND w.id = c.segment_id JOIN g ON g.k = c.episode_id AND g.r = w.r"""
+
+_CUT = """CASE WHEN d - {0} <= 300000 THEN d ELSE coalesce(list_max(list_transform(list_filter(list_transform(ps, lambda x: {{'a': x.a, 'b': x.b, 't': greatest({0} + 270000, least({0} + 300000, (x.a + x.b) // 2))}}), lambda y: y.t BETWEEN y.a AND y.b), lambda z: z.t)), {0} + 300000) END"""
+_PLAN = f"""WITH RECURSIVE {SEGMENTS}, v AS (SELECT * FROM sg WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL),
+w AS (SELECT *, max(end_ms) OVER (PARTITION BY episode_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v WHERE end_ms > start_ms),
+pz AS (SELECT episode_id, list({{'a': m, 'b': start_ms}}) AS ps FROM w WHERE start_ms > m GROUP BY episode_id),
+dz AS (SELECT episode_id AS k, max(end_ms) AS d, coalesce(any_value(ps), []) AS ps FROM v LEFT JOIN pz USING (episode_id) GROUP BY episode_id),
+r AS (SELECT k, d, ps, 0 AS chunk, 0::BIGINT AS s, {_CUT.format('0')} AS e FROM dz WHERE d > 0 UNION ALL SELECT k, d, ps, chunk + 1, e, {_CUT.format('e')} FROM r WHERE e < d),
+pl AS (SELECT k AS episode_id, chunk, s AS start_ms, e AS end_ms, CASE WHEN d - s <= 300000 THEN 'end' WHEN len(list_filter(ps, lambda x: greatest(s + 270000, least(s + 300000, (x.a + x.b) // 2)) BETWEEN x.a AND x.b)) > 0 THEN 'silence' ELSE 'forced' END AS boundary FROM r)"""
+ORACLE["chunk_plan"] = _PLAN + " SELECT episode_id, chunk, start_ms, end_ms, boundary FROM pl"
+ORACLE["forced_boundaries"] = _PLAN + " SELECT DISTINCT sg.episode_id, sg.id, pl.end_ms AS cut_ms FROM sg JOIN pl USING (episode_id) WHERE boundary = 'forced' AND abs(sg.start_ms - pl.end_ms) <= 2000"
+CHUNK_KINDS = _PLAN + " SELECT boundary AS kind, count(*) AS n FROM pl GROUP BY boundary"

@@ -83,4 +83,10 @@ ORACLE = {
     "stream_sessions": """WITH a AS (SELECT user_id, epoch_us(ts) AS us FROM events), b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 600000000 THEN 0 ELSE 1 END AS f FROM a),
 c AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM b)
 SELECT user_id, min(us) AS start_us, max(us) + 600000000 AS end_us, count(*) AS events FROM c GROUP BY user_id, k""",
+    "stream_attempts": """WITH e AS (SELECT DISTINCT stream_id, attempt, seq, type, id, text, CASE WHEN isfinite("start") THEN round("start" * 1000.0)::BIGINT END AS ms FROM asr_events),
+b AS (SELECT *, regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\x1c-\x1f\x85]+', '', 'g') AS t, type = 'transcript.text.segment' AS g FROM e),
+o AS (SELECT *, CASE WHEN g THEN lag(ms) OVER (PARTITION BY stream_id, attempt, g ORDER BY seq, ms, t) END AS p FROM b),
+a AS (SELECT stream_id, attempt, bool_or(type = 'transcript.text.done') AS d, count(*) FILTER (g) AS segments, count(DISTINCT id) FILTER (g) AS ids, coalesce(bool_or(g AND ms < p), false) AS falls,
+ coalesce(string_agg(t, '' ORDER BY seq, ms, t) FILTER (g), '') AS joined, max(t) FILTER (type = 'transcript.text.done') AS whole FROM o GROUP BY stream_id, attempt)
+SELECT stream_id, attempt, segments, CASE WHEN NOT d THEN 'incomplete' WHEN ids < segments THEN 'id_repeated' WHEN falls THEN 'not_in_order' WHEN joined <> whole THEN 'text_differs' ELSE 'complete' END AS state FROM a""",
 }

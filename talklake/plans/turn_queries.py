@@ -74,6 +74,11 @@ t1 AS (SELECT sg.*, kn.who FROM sg LEFT JOIN kn ON kn.episode_id = sg.episode_id
 t2 AS (SELECT *, CASE WHEN who = lag(who) OVER (PARTITION BY episode_id ORDER BY idx, id) THEN 0 ELSE 1 END AS f FROM t1),
 t3 AS (SELECT *, sum(f) OVER (PARTITION BY episode_id ORDER BY idx, id ROWS UNBOUNDED PRECEDING) AS t FROM t2)"""
 
+TURN_TEXTS = f"""WITH {_TURNS}, x AS (SELECT episode_id, idx, id, t, min(idx) OVER (PARTITION BY episode_id, t) AS first_idx, regexp_replace(coalesce(nullif(text, ''), raw_text), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS v FROM t3),
+y AS (SELECT *, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY episode_id, t ORDER BY idx, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM x),
+z AS (SELECT *, CASE WHEN regexp_matches(l, '[A-Za-z0-9.,!?;:)"'']$') AND regexp_matches(v, '^[A-Za-z0-9]') THEN ' ' || v ELSE v END AS piece FROM y),
+tt AS (SELECT episode_id, first_idx, (idx // 4096 - first_idx // 4096)::INTEGER AS part, string_agg(piece, '' ORDER BY idx, id) AS text FROM z GROUP BY episode_id, t, first_idx, idx // 4096)"""
+
 ORACLE = {
     "turns_segments": f"""WITH {_TURNS} SELECT episode_id, min(idx) AS first_idx, max(idx) AS last_idx, max(who) AS known_speaker, first(start_ms ORDER BY idx, id) AS start_ms, max(end_ms) AS end_ms,
 count(*) AS segments, bool_or(review_status IS DISTINCT FROM 'reviewed') AS needs_review FROM t3 GROUP BY episode_id, t""",
@@ -81,10 +86,7 @@ count(*) AS segments, bool_or(review_status IS DISTINCT FROM 'reviewed') AS need
 a AS (SELECT *, CASE WHEN who = lag(who) OVER (PARTITION BY user_id ORDER BY us, event_id) THEN 0 ELSE 1 END AS f FROM e),
 b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS t FROM a)
 SELECT user_id, first(event_id ORDER BY us, event_id) AS first_event, max(who) AS speaker, count(*) AS events, min(us) AS first_us, max(us) AS last_us FROM b GROUP BY user_id, t""",
-    "turn_texts": f"""WITH {_TURNS}, x AS (SELECT episode_id, idx, id, t, min(idx) OVER (PARTITION BY episode_id, t) AS first_idx, regexp_replace(coalesce(nullif(text, ''), raw_text), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS v FROM t3),
-y AS (SELECT *, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY episode_id, t ORDER BY idx, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM x),
-z AS (SELECT *, CASE WHEN regexp_matches(l, '[A-Za-z0-9.,!?;:)"'']$') AND regexp_matches(v, '^[A-Za-z0-9]') THEN ' ' || v ELSE v END AS piece FROM y)
-SELECT episode_id, first_idx, (idx // 4096 - first_idx // 4096)::INTEGER AS part, string_agg(piece, '' ORDER BY idx, id) AS text FROM z GROUP BY episode_id, t, first_idx, idx // 4096""",
+    "turn_texts": TURN_TEXTS + " SELECT episode_id, first_idx, part, text FROM tt",
     "speaker_numbers": """WITH a AS (SELECT stream_id, attempt, speaker, min(seq) AS s FROM asr_events WHERE type = 'transcript.text.segment' AND speaker IS NOT NULL
  AND regexp_replace(speaker, '[\\s\\p{Z}]+', '', 'g') <> '' AND lower(speaker) NOT IN ('unknown', 'none', 'null') GROUP BY ALL)
 SELECT stream_id, attempt, speaker, 'speaker-' || row_number() OVER (PARTITION BY stream_id, attempt ORDER BY s, speaker) AS speaker_id FROM a""",
