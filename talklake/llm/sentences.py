@@ -61,6 +61,7 @@ _RUN = re.compile("[" + re.escape(STOPS + MARKS + ELLIPSIS) + "]+")
 _BLANK_LINE = re.compile(r"(?:\r\n|[\n\r  \x0b\x0c\x85])[^\S\n\r  \x0b\x0c\x85]*(?:[\n\r  \x0b\x0c\x85])\s*")
 _WORD_BEFORE = re.compile(r"[^\s“”„«»「」『』（）()\[\]\"…]*\Z")
 _NOT_BLANK = re.compile(r"\S")
+_WORD = re.compile(r"\w+")
 _LINES = re.compile(r"[^\n\r  \x0b\x0c\x85]+")
 
 
@@ -148,8 +149,9 @@ def _stop_ends(text: str, start: int, at: int, end: int) -> bool:
         body = word.lstrip("([{«“„\"'")
         if body.isdigit():
             if first.isupper():
-                m = re.match(r"\w+", text[pos : pos + 12])
-                if m and m[0].capitalize() in MONTHS:
+                m = _WORD.match(text, pos)
+                month = transducer().apply(m[0]) if m else ""
+                if month and month.capitalize() in MONTHS:
                     return False
             if not text[start : at - len(word)].strip():
                 return False  # the number of a list item
