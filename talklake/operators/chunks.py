@@ -7,12 +7,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Chunks of one recording at most (a year of five-minute chunks).
+MAX_CHUNKS = 105_000
+
+
 def cut_times(duration: int, pauses: list[tuple[int, int]], limit: int, window: int) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of the chunks of [0, duration), in milliseconds.
 
     A cut is sought in the last ``window`` before the limit, never before its half: the latest middle of a pause,
     moved into the window if the pause reaches into it. Without one the cut is forced at the limit. No duration, no chunks.
+    A duration of more than MAX_CHUNKS limits is damaged: it gives one row with the boundary too_long.
     """
+    if duration > limit * MAX_CHUNKS:
+        return [(0, duration, "too_long")]
     out, start, first = [], 0, 0
     pauses = sorted(pauses)
     while start < duration:

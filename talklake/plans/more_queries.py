@@ -35,7 +35,7 @@ def chunk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stitched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments cut back into the rows of their chunks and stitched again: counts and time per episode."""
     s = timed(segments(spark, sf_dir)).select("episode_id", "id", "start_ms", "end_ms", "speaker_id", F.length("text").alias("chars"))
-    plan = chunk_plan(spark, sf_dir)
+    plan = chunk_plan(spark, sf_dir).where("boundary <> 'too_long'")
     cells = plan.select("*", F.explode(F.sequence(F.floor(F.col("start_ms") / 300_000), F.floor((F.col("end_ms") - 1) / 300_000))).alias("h"))
     at = s.withColumn("h", F.floor(F.col("start_ms") / 300_000)).alias("s").join(cells.alias("c"), ["episode_id", "h"]).where((F.col("s.start_ms") >= F.col("c.start_ms")) & (F.col("s.start_ms") < F.col("c.end_ms")))
     rows = at.select("episode_id", F.col("c.chunk").alias("chunk"), F.col("s.id").alias("row_no"), (F.col("s.start_ms") - F.col("c.start_ms")).alias("start_ms"), (F.col("s.end_ms") - F.col("c.start_ms")).alias("end_ms"), F.col("speaker_id").alias("speaker"), F.col("chars").alias("text"))
