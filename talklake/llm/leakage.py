@@ -162,7 +162,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], lis
 def item_tokens(items: DataFrame) -> DataFrame:
     """(item_id, pos, term, need): every token of an item; ``need`` consecutive ones make a passage."""
     spaceless = F.coalesce(F.lower("lang").rlike("^(zh|ja|zho|cmn|jpn)"), F.lit(False))
-    rows = items.select("item_id", "text", spaceless.alias("letters")).where(F.col("text").isNotNull()).dropDuplicates(["item_id"])
+    rows = items.select("item_id", "text", spaceless.alias("letters")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,7 @@ def shared_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, tokens, need): the longest passage of consecutive tokens that a document shares with an item.
 
     Only pairs whose longest passage reaches the item's need are returned, one row per pair. Null, empty and
-    short texts match nothing; repeated rows change nothing; documents without an id are left out. Items are held in memory in blocks of at
+    short texts match nothing; repeated rows change nothing (of several items with one id one is taken); documents and items without an id are left out. Items are held in memory in blocks of at
     most MAX_TERMS tokens; documents are read once per block and never collected.
     """
     spark = docs.sparkSession
