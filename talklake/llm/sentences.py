@@ -5,8 +5,8 @@ blanks. Every such gap is then classified.
 
 * Spaced scripts: the classes that an end mark can have there (end of a word, abbreviation, initial, number,
   ellipsis) and the classes of what follows form a small lattice; the decision is read off the pair.
-* Spaceless scripts: around a gap a word lattice over a dictionary of function words gives the word before it
-  (a final particle or end mark) and the word after it (an opening or continuing word).
+* Spaceless scripts: the end mark before a gap and, after a quotation, the word that follows it (read from a word lattice
+  over a dictionary of function words) give its class: an opening word begins a unit, a continuing one does not.
 * Quotes and brackets are matched first, so that nothing inside one is cut and unpaired signs change nothing.
 
 Positions count code points. Invisible signs are looked through; look-alike letters are read as what they look like.
@@ -50,19 +50,19 @@ MONTHS = set("Januar Februar März April Mai Juni Juli August September Oktober
 GAP_WORDS = {"と": "continue", "って": "new", "とか": "continue", "という": "continue", "とは": "continue", "とも": "continue"}
 _LONGEST_GAP_WORD = max(map(len, GAP_WORDS))
 
-_EVENT_CHARS = STOPS + MARKS + ELLIPSIS + "".join(PAIRS) + "".join(CLOSERS) + '"\n\r  \x0b\x0c\x85'
+_EVENT_CHARS = STOPS + MARKS + ELLIPSIS + "".join(PAIRS) + "".join(CLOSERS) + '"\n\r\u2028\u2029\x0b\x0c\x85'
 _EVENTS = re.compile("[" + re.escape(_EVENT_CHARS).replace("’", "") + "]")
 _THAI = "ก-ฺเ-๎"
 _HAS_THAI = re.compile(f"[{_THAI}]")
-_THAI_GAP = re.compile(f"(?<=[{_THAI}])[^\\S\n\r  \x0b\x0c\x85]+(?=[{_THAI}])")
-_BREAKS = "\n\r  \x0b\x0c\x85"
-_UNSEEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯﻿]")
+_THAI_GAP = re.compile(f"(?<=[{_THAI}])[^\\S\n\r\u2028\u2029\x0b\x0c\x85]+(?=[{_THAI}])")
+_BREAKS = "\n\r\u2028\u2029\x0b\x0c\x85"
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]")
 _RUN = re.compile("[" + re.escape(STOPS + MARKS + ELLIPSIS) + "]+")
-_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r  \x0b\x0c\x85])[^\S\n\r  \x0b\x0c\x85]*(?:[\n\r  \x0b\x0c\x85])\s*")
+_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\u2028\u2029\x0b\x0c\x85])[^\S\n\r\u2028\u2029\x0b\x0c\x85]*(?:[\n\r\u2028\u2029\x0b\x0c\x85])\s*")
 _WORD_BEFORE = re.compile(r"[^\s“”„«»「」『』（）()\[\]\"…]*\Z")
 _NOT_BLANK = re.compile(r"\S")
 _WORD = re.compile(r"\w+")
-_LINES = re.compile(r"[^\n\r  \x0b\x0c\x85]+")
+_LINES = re.compile(r"[^\n\r\u2028\u2029\x0b\x0c\x85]+")
 
 
 def gap_class(text: str, at: int) -> str:

@@ -43,6 +43,7 @@ _ROUND = re.compile(r"\(([^()]*)\)|（([^（）]*)）")
 _LABEL = re.compile(r"\s*([^:：\n]{1,60}?)\s*(?:[:：]|\s[-–—]\s)")
 _BOXED_LABEL = re.compile(r"\s*[\[【]([^\[\]【】\n]{1,60})[\]】]\s*[:：]?")
 _JOINT = re.compile(r"[\s\-–—,，.。、…:：]+")
+_HEAD = re.compile(r"\A[\s\u00ad\u034f\u200b-\u200f\u2060\ufeff]+")
 _SAID = re.compile(r"[^\W_]")
 _NUMBERED = re.compile(r"([^\W\d_]+)[\s_\-.#]*0*(\d+)")
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -157,7 +158,7 @@ def parse_row(speaker: str | None, text: str | None, roster: Roster) -> tuple[st
     state = True
     while state and rest:  # head of the line: marks and one label in any order
         state = False
-        rest = rest.lstrip("​‌‍⁠﻿ \t\r\n 　")
+        rest = _HEAD.sub("", rest, count=1)
         if not labelled and (m := _BOXED_LABEL.match(rest)) and (who := roster.find(m[1])):
             sid, labelled, state = sid or who, True, True
             rest = rest[m.end() :]
