@@ -16,7 +16,7 @@ def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
     reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    raw = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
+    raw = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n")
     return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), raw.alias("raw"))
 
 
