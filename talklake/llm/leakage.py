@@ -262,3 +262,46 @@ def _passages(docs: DataFrame, tokens: DataFrame, terms: np.ndarray) -> DataFram
         "greatest(a.best, if(x = a.last + 1, a.run + 1, 1)) as best, if(x = a.last + 1, a.run + 1, 1) as run, x as last)).best"
     )
     return per.groupBy("doc_id", "item_id", "need").agg(F.max(longest).alias("tokens")).where(F.col("tokens") >= F.col("need")).select("doc_id", "item_id", "tokens", "need")
+
+
+#: Share of an item's tokens that makes a proximity match, and the drift of positions allowed.
+NEAR_SHARE, NEAR_DRIFT = 0.4, 24
+
+
+def near_passages(docs: DataFrame, items: DataFrame, share: float = NEAR_SHARE, drift: int = NEAR_DRIFT) -> DataFrame:
+    """(doc_id, item_id, permille): documents that hold at least ``share`` of an item's tokens close together, with words put in or left out.
+
+    Tokens count if their position in the document, less that in the item, lies within ``drift`` of a common value; permille is the largest
+    share found. So many of an item's rarest tokens are looked up that a document with the share must hold two of them. Null and empty texts, and documents and items without
+    an id, match nothing; repeated rows change nothing.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    tokens = item_tokens(items).checkpoint()
+    parts = [_near(docs, part, terms, share, drift) for part, terms in _blocks(tokens, 1, 0)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _near(docs: DataFrame, tokens: DataFrame, terms: np.ndarray, share: float, drift: int) -> DataFrame:
+    index = postings(docs, terms).checkpoint()
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    sizes = tokens.groupBy("item_id").agg(F.max("pos").alias("top"), F.count_distinct("pos").alias("total"))
+    told = tokens.join(counts, "term").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "pos", "term"))).alias("t")).join(sizes, "item_id")
+    need = F.greatest(F.size("t") - F.ceil(F.col("total") * share).cast("int") + 2, F.lit(0))
+    anchors = told.select("item_id", F.explode(F.slice("t", F.lit(1), need)).alias("x")).select("item_id", F.col("x.pos").alias("item_pos"), "x.term")
+    # Values within the drift of each other share one of two neighbouring cells.
+    cell = F.floor((F.col("pos") - F.col("item_pos")) / F.lit(drift)).cast("long")
+    met = index.join(anchors, "term").select("item_id", "doc_id", "item_pos", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    found = met.groupBy("item_id", "doc_id", "cell").agg(F.count_distinct("item_pos").alias("m")).where("m > 1").drop("m")
+    low, high = (F.col("cell") - 1) * drift, (F.col("cell") + 1) * drift + F.col("top")
+    reach = F.sequence(F.floor(F.greatest(low, F.lit(0)) / _STRETCH), F.floor(F.greatest(high, F.lit(0)) / _STRETCH))
+    cells = found.join(sizes, "item_id").select("item_id", "doc_id", "cell", "total", F.explode(reach).alias("stretch"))
+    on = index.withColumn("stretch", F.floor(F.col("pos") / _STRETCH)).join(cells, ["doc_id", "stretch"])
+    lined = on.join(tokens.select("item_id", F.col("pos").alias("item_pos"), "term"), ["item_id", "term"])
+    gap = F.col("pos") - F.col("item_pos")
+    inside = lined.where((gap >= (F.col("cell") - 1) * drift) & (gap < (F.col("cell") + 1) * drift))
+    per = inside.groupBy("item_id", "doc_id", "cell", "total").agg(F.count_distinct("item_pos").alias("held"))
+    best = per.groupBy("doc_id", "item_id").agg(F.max(F.floor(F.col("held") * 1000 / F.col("total"))).cast("long").alias("permille"))
+    return best.where(F.col("permille") >= int(share * 1000))

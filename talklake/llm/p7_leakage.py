@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talklake.llm.leakage import LETTERS, shared_passages
+from talklake.llm.leakage import LETTERS, near_passages, shared_passages
 from talklake.runtime import table
 
 
@@ -24,5 +24,10 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(suites, "item_id").select("item_id", "suite", "documents", "longest_passage")
 
 
-QUERIES = {"p7_found": p7_found, "p7_report": p7_report}
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: documents that hold much of an item with words put in or left out."""
+    return near_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_near": p7_near, "p7_found": p7_found, "p7_report": p7_report}
 ORACLE: dict[str, str] = {}

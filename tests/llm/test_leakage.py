@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from talklake.llm.leakage import item_tokens, reader, shared_passages, token_arrays
+from talklake.llm.leakage import item_tokens, near_passages, reader, shared_passages, token_arrays
 from talklake.llm.lookalike import transducer
 
 WORD = re.compile(r"[^\W_]+")
@@ -84,3 +84,14 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert got == brute(items, docs)
     assert shared_passages(ddf.limit(0), idf).count() == 0 and shared_passages(ddf, idf.limit(0)).count() == 0
     assert item_tokens(idf.limit(0)).count() == 0 and np.uint64(1) == 1
+
+
+def test_proximity_matches(spark):
+    words = [f"term{i}" for i in range(40)]
+    filled = " ".join(w + (" uh" if i % 5 == 4 else "") for i, w in enumerate(words))
+    docs = [(1, filled), (2, " ".join(words[:4]) + " else " * 50), (3, " and ".join(words)), (4, None), (5, "x " * 500 + filled.upper()), (6, " ".join(words)), (None, filled)]
+    items = spark.createDataFrame([(7, " ".join(words), "en", "s"), (8, "short one", "en", "s"), (None, filled, "en", "s"), (9, None, "en", "s")], "item_id long, text string, lang string, suite string")
+    ddf = spark.createDataFrame(docs + docs[:1], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.permille for r in near_passages(ddf, items).collect()}
+    assert set(got) == {(1, 7), (5, 7), (6, 7)} and got[(6, 7)] == 1000 and got[(1, 7)] == got[(5, 7)] == 820
+    assert near_passages(ddf.limit(0), items).count() == 0 and near_passages(ddf, items.limit(0)).count() == 0
