@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from talklake.llm.lookalike import transducer
 from talklake.operators.runs import mark_runs
-from talklake.runtime import millis
+from talklake.runtime import ensure_checkpoint_dir, millis
 
 # Words that stand for "speaker" before a number.
 SPEAKER_WORDS = set("speaker spkr spk s sp sprecher locuteur orador hablante voice talker 说话人 發言人 发言人 讲话人 話者 спикер วิทยากร वक्ता".split())
@@ -225,6 +225,8 @@ def speaker_turns(events: DataFrame, speakers: DataFrame) -> DataFrame:
     rows = said_rows(events, speakers).withColumns(
         {"_t": F.coalesce(millis("start"), F.lit(2**62)), "_who": F.when(F.col("speaker_id") != "", F.col("speaker_id"))}
     )
+    ensure_checkpoint_dir(events.sparkSession)
+    rows = rows.checkpoint()  # read several times, parsed once
     shard = F.floor(F.col("_t") / F.lit(SHARD_MS)).cast("long")
     marked = mark_runs(rows, ["stream_id"], shard, ["_t", "seq", "id"], "_who")
     at = F.struct("_t", "seq", "id")
@@ -251,5 +253,7 @@ def found_turns(events: DataFrame, speakers: DataFrame) -> DataFrame:
     rows = said_rows(events, speakers).select(
         "stream_id", "id", "seq", "speaker_id", F.coalesce(millis("start"), F.lit(2**62)).alias("_t"), F.when(F.col("speaker_id") != "", F.col("speaker_id")).alias("_who")
     )
+    ensure_checkpoint_dir(events.sparkSession)
+    rows = rows.checkpoint()  # read several times, parsed once
     shard = F.floor(F.col("_t") / F.lit(SHARD_MS)).cast("long")
     return turn_bounds(mark_runs(rows, ["stream_id"], shard, ["_t", "seq", "id"], "_who")).select("stream_id", "first_id", "last_id", "speaker_id")
