@@ -5,12 +5,12 @@ pairs of neighbouring words, or three neighbouring letters for scripts without b
 occurs in a test item, the postings (token, document, position) of all documents. Each window of an item
 is looked up by its rarest tokens (counted over the whole corpus): their posting lists, shifted by the position in the item,
 are intersected, and the surviving alignments are completed from the postings of the remaining tokens, which
-gives the exact length of every shared passage.
+gives the exact length of every shared passage. Proximity matches need no index: each document is swept once against the items.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -178,21 +178,31 @@ def item_tokens(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "item_id long, pos int, term long, need int")
 
 
+def _finder(known: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function that gives, of an array of terms, the indexes of those that are known and their places among the known."""
+    bloom = np.zeros(1 << _BLOOM_BITS, bool)
+    bloom[known.view(np.uint64) >> np.uint64(64 - _BLOOM_BITS)] = True
+
+    def hits(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        maybe = np.flatnonzero(bloom[term.view(np.uint64) >> np.uint64(64 - _BLOOM_BITS)])
+        t = term[maybe]
+        spot = np.minimum(np.searchsorted(known, t), len(known) - 1)
+        ok = known[spot] == t if len(known) else np.zeros(len(t), bool)
+        return maybe[ok], spot[ok]
+
+    return hits
+
+
 def postings(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id") -> DataFrame:
     """(term, doc_id, pos) of all documents for the given tokens (sorted; shared_passages keeps them within MAX_TERMS)."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        bloom[known.view(np.uint64) >> np.uint64(64 - _BLOOM_BITS)] = True
+        hits = _finder(shared.value)
         for ids, texts in _batches(batches):
             keys = np.array(ids, np.int64)
             for d, pos, term, _ in token_arrays(texts):
-                maybe = np.flatnonzero(bloom[term.view(np.uint64) >> np.uint64(64 - _BLOOM_BITS)])
-                t = term[maybe]
-                spot = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                hit = maybe[known[spot] == t] if len(known) else maybe[:0]
+                hit, _ = hits(term)
                 if len(hit):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(term[hit]), pa.array(keys[d[hit]]), pa.array(pos[hit].astype(np.int32))], ["term", "doc_id", "pos"]
@@ -225,20 +235,20 @@ def shared_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     tokens = item_tokens(items).checkpoint()
-    parts = [_passages(docs, part, terms) for part, terms in _blocks(tokens, 1, 0)]
+    parts = [_passages(docs, part, np.sort(held.column(0).to_numpy().astype(np.int64))) for part, held in _blocks(tokens, 1, 0, ["term"])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _blocks(tokens: DataFrame, of: int, number: int) -> list[tuple[DataFrame, np.ndarray]]:
-    """The items in blocks whose distinct tokens are at most MAX_TERMS, with those tokens; a single item is never divided."""
+def _blocks(tokens: DataFrame, of: int, number: int, columns: list[str]) -> list[tuple[DataFrame, pa.Table]]:
+    """The items in blocks whose distinct values of the columns are at most MAX_TERMS, with those values; a single item is never divided."""
     part = tokens if of == 1 else tokens.where(F.pmod(F.xxhash64("item_id"), F.lit(of)) == number)
-    distinct = part.select("term").distinct()
+    distinct = part.select(*columns).distinct()
     if distinct.count() > MAX_TERMS and part.select("item_id").distinct().limit(2).count() > 1:
-        return _blocks(tokens, of * 2, number) + _blocks(tokens, of * 2, number + of)
-    return [(part, np.sort(distinct.toArrow().column(0).to_numpy().astype(np.int64)))]  # bounded by MAX_TERMS or one item
+        return _blocks(tokens, of * 2, number, columns) + _blocks(tokens, of * 2, number + of, columns)
+    return [(part, distinct.toArrow())]  # bounded by MAX_TERMS or one item
 
 
 def _passages(docs: DataFrame, tokens: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -266,42 +276,104 @@ def _passages(docs: DataFrame, tokens: DataFrame, terms: np.ndarray) -> DataFram
 
 #: Share of an item's tokens that makes a proximity match, and the drift of positions allowed.
 NEAR_SHARE, NEAR_DRIFT = 0.4, 24
+#: Matches of a stretch of documents with items that are scored at a time.
+_MATCHES = 4_000_000
 
 
 def near_passages(docs: DataFrame, items: DataFrame, share: float = NEAR_SHARE, drift: int = NEAR_DRIFT) -> DataFrame:
     """(doc_id, item_id, permille): documents that hold at least ``share`` of an item's tokens close together, with words put in or left out.
 
-    Tokens count if their position in the document, less that in the item, lies within ``drift`` of a common value; permille is the largest
-    share found. So many of an item's rarest tokens are looked up that a document with the share must hold two of them. Null and empty texts, and documents and items without
-    an id, match nothing; repeated rows change nothing.
+    Tokens count if their position in the document, less that in the item, lies within ``drift`` of a common value (a spread of up to twice the
+    drift); permille is the largest share found, whatever the common value. Every value is tried: a document is scored where it is read, against
+    items held in memory in blocks of at most MAX_TERMS tokens. Null and empty texts, and documents and items without
+    an id, match nothing; repeated rows change nothing (of several texts with one id the best counts).
     """
     ensure_checkpoint_dir(docs.sparkSession)
     tokens = item_tokens(items).checkpoint()
-    parts = [_near(docs, part, terms, share, drift) for part, terms in _blocks(tokens, 1, 0)]
+    parts = [_near(docs, held, share, drift) for _, held in _blocks(tokens, 1, 0, ["item_id", "pos", "term"])]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.max("permille").alias("permille"))
 
 
-def _near(docs: DataFrame, tokens: DataFrame, terms: np.ndarray, share: float, drift: int) -> DataFrame:
-    index = postings(docs, terms).checkpoint()
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    sizes = tokens.groupBy("item_id").agg(F.max("pos").alias("top"), F.count_distinct("pos").alias("total"))
-    told = tokens.join(counts, "term").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "pos", "term"))).alias("t")).join(sizes, "item_id")
-    need = F.greatest(F.size("t") - F.ceil(F.col("total") * share).cast("int") + 2, F.lit(0))
-    anchors = told.select("item_id", F.explode(F.slice("t", F.lit(1), need)).alias("x")).select("item_id", F.col("x.pos").alias("item_pos"), "x.term")
-    # Values within the drift of each other share one of two neighbouring cells.
-    cell = F.floor((F.col("pos") - F.col("item_pos")) / F.lit(drift)).cast("long")
-    met = index.join(anchors, "term").select("item_id", "doc_id", "item_pos", F.explode(F.array(cell, cell + 1)).alias("cell"))
-    found = met.groupBy("item_id", "doc_id", "cell").agg(F.count_distinct("item_pos").alias("m")).where("m > 1").drop("m")
-    low, high = (F.col("cell") - 1) * drift, (F.col("cell") + 1) * drift + F.col("top")
-    reach = F.sequence(F.floor(F.greatest(low, F.lit(0)) / _STRETCH), F.floor(F.greatest(high, F.lit(0)) / _STRETCH))
-    cells = found.join(sizes, "item_id").select("item_id", "doc_id", "cell", "total", F.explode(reach).alias("stretch"))
-    on = index.withColumn("stretch", F.floor(F.col("pos") / _STRETCH)).join(cells, ["doc_id", "stretch"])
-    lined = on.join(tokens.select("item_id", F.col("pos").alias("item_pos"), "term"), ["item_id", "term"])
-    gap = F.col("pos") - F.col("item_pos")
-    inside = lined.where((gap >= (F.col("cell") - 1) * drift) & (gap < (F.col("cell") + 1) * drift))
-    per = inside.groupBy("item_id", "doc_id", "cell", "total").agg(F.count_distinct("item_pos").alias("held"))
-    best = per.groupBy("doc_id", "item_id").agg(F.max(F.floor(F.col("held") * 1000 / F.col("total"))).cast("long").alias("permille"))
-    return best.where(F.col("permille") >= int(share * 1000))
+class _Shelf:
+    """Items in memory: ``item`` and ``pos`` of the tokens of each term, and how many tokens an item has and must find."""
+
+    def __init__(self, held: pa.Table, limit: int) -> None:
+        ids, pos, term = (held.column(k).to_numpy() for k in range(3))
+        order = np.argsort(term, kind="stable")
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.first = np.append(first, len(term))
+        self.ids, item = np.unique(ids, return_inverse=True)
+        self.item, self.pos = item[order].astype(np.int64), pos[order].astype(np.int64)
+        self.total = np.bincount(item, minlength=len(self.ids))
+        self.least = np.maximum(-(-self.total * limit // 1000), 1)
+
+
+def _runs(doc: np.ndarray, spot: np.ndarray, pos: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, term, first, last) of the stretches in which a term comes again within the spread, in order of the documents.
+
+    The windows that see a term of a stretch follow each other without a hole, so a stretch counts as one.
+    """
+    order = np.lexsort((pos, spot, doc))
+    doc, spot, pos = doc[order], spot[order], pos[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (spot[1:] != spot[:-1]) | (pos[1:] - pos[:-1] > spread + 1)
+    start = np.flatnonzero(new)
+    return doc[start], spot[start], pos[start], pos[np.append(start[1:], len(doc)) - 1]
+
+
+def _best(shelf: _Shelf, doc: np.ndarray, spot: np.ndarray, first: np.ndarray, last: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, item, tokens held): for each pair that can reach the item's least, the most item tokens that one window sees."""
+    begin = shelf.first[spot]
+    n = shelf.first[spot + 1] - begin
+    run = np.repeat(np.arange(len(spot)), n)
+    at = begin[run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]
+    item = shelf.item[at]
+    pair = (doc[run] - doc[0]) * len(shelf.ids) + item
+    can = np.flatnonzero(np.bincount(pair)[pair] >= shelf.least[item])  # a window sees no more than all matches
+    pair, run, pos = pair[can], run[can], shelf.pos[at[can]]
+    if not len(pair):
+        return pair, pair, pair
+    # A token is seen by the windows that begin at its offset less the spread, up to its offset; the deepest point wins.
+    base = int(pos.max()) + spread
+    opens, closes = first[run] - pos - spread + base, last[run] - pos + 1 + base
+    key = np.sort(np.concatenate([pair << 34 | opens << 1 | 1, pair << 34 | closes << 1]))
+    depth = np.cumsum((key & 1) * 2 - 1)
+    group = key >> 34
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return group[start] // len(shelf.ids) + doc[0], group[start] % len(shelf.ids), np.maximum.reduceat(depth, start)
+
+
+def _near(docs: DataFrame, held: pa.Table, share: float, drift: int) -> DataFrame:
+    limit, spread = round(share * 1000), 2 * drift
+    shared = docs.sparkSession.sparkContext.broadcast(_Shelf(held, limit))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelf = shared.value
+        hits = _finder(shelf.terms)
+        for ids, texts in _batches(batches):
+            keys = np.array(ids, np.int64)
+            for d, pos, term, _ in token_arrays(texts):
+                hit, spot = hits(term)
+                if not len(hit):
+                    continue
+                runs = _runs(d[hit], spot, pos[hit], spread)
+                matches = np.cumsum(shelf.first[runs[1] + 1] - shelf.first[runs[1]])
+                heads = np.flatnonzero(np.append(True, runs[0][1:] != runs[0][:-1]))
+                ends = np.append(heads[1:], len(runs[0]))
+                k = 0
+                while k < len(heads):  # whole documents, at least one at a time
+                    seen = int(matches[heads[k] - 1]) if heads[k] else 0
+                    full = int(np.searchsorted(matches[ends - 1], seen + _MATCHES, "right"))
+                    wide = int(np.searchsorted(runs[0][heads], runs[0][heads[k]] + _MATCHES // len(shelf.ids), "right"))
+                    upto = max(min(full, wide), k + 1)
+                    doc, item, found = _best(shelf, *(x[heads[k] : ends[upto - 1]] for x in runs), spread)
+                    permille = found * 1000 // shelf.total[item]
+                    ok = permille >= limit
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[doc[ok]]), pa.array(shelf.ids[item[ok]]), pa.array(permille[ok])], ["doc_id", "item_id", "permille"])
+                    k = upto
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, item_id long, permille long")

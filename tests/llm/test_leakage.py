@@ -95,3 +95,53 @@ def test_proximity_matches(spark):
     got = {(r.doc_id, r.item_id): r.permille for r in near_passages(ddf, items).collect()}
     assert set(got) == {(1, 7), (5, 7), (6, 7)} and got[(6, 7)] == 1000 and got[(1, 7)] == got[(5, 7)] == 820
     assert near_passages(ddf.limit(0), items).count() == 0 and near_passages(ddf, items.limit(0)).count() == 0
+
+
+def nearest(items, docs, share=400, spread=48):
+    """Brute force: the best window of offsets, tried from every offset."""
+    want = {}
+    for d, t in docs:
+        for i, q, lang, _ in items:
+            n = 3 if lang == "zh" else 2
+            a, b = (["".join(WORD.findall(x)) if lang == "zh" else WORD.findall(x) for x in (t, q)])
+            a, b = ([tuple(x[k : k + n]) for k in range(len(x) - n + 1)] for x in (a, b))
+            met = [(x - y, y) for x, u in enumerate(a) for y, v in enumerate(b) if u == v]
+            best = max((len({y for o, y in met if s <= o <= s + spread}) for s, _ in met), default=0)
+            if b and best * 1000 >= share * len(b):
+                want[d, i] = max(best * 1000 // len(b), want.get((d, i), 0))
+    return want
+
+
+def near(spark, docs, items):
+    idf = spark.createDataFrame(items, "item_id long, text string, lang string, suite string")
+    rows = near_passages(spark.createDataFrame(docs, "doc_id long, text string"), idf).collect()
+    assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
+    return {(r.doc_id, r.item_id): r.permille for r in rows}
+
+
+def test_a_proximity_match_does_not_depend_on_its_place(spark):
+    words = [f"term{i}" for i in range(101)]
+    items = [(1, " ".join(words), "en", "s")]
+    docs = [(100 * gap + k, "x " * k + " ".join(words[:31]) + " y" * gap + " " + " ".join(words[31:62])) for gap in (25, 36, 47, 48, 49) for k in range(24)]
+    got = near(spark, docs, items)
+    assert got == {(100 * gap + k, 1): 600 for gap in (25, 36, 47, 48) for k in range(24)} == nearest(items, docs)
+
+
+def test_proximity_matches_equal_brute_force(spark, monkeypatch):
+    from talklake.llm import leakage
+
+    rnd = random.Random(5)
+    vocab, han = [f"w{i}" for i in range(12)], [chr(0x4E00 + i) for i in range(8)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([4, 20, 60]))), "en", "s") for i in range(5)]
+    items += [(i, "".join(rnd.choices(han, k=rnd.choice([5, 40]))), "zh", "s") for i in range(5, 8)] + [(8, "w0 w1 " * 20, "en", "s")]
+    docs = []
+    for d in range(40):
+        _, text, lang, _ = rnd.choice(items)
+        units = [u for w in (text.split() if lang == "en" else text) for u in [w] + ["-"] * (rnd.random() < 0.05)]
+        body = [x for w in units for x in ([w] if rnd.random() < 0.9 else [w, *["zz"] * rnd.choice([1, 9, 30])]) if x != "-"]
+        docs.append((d, " ".join(rnd.choices(vocab, k=rnd.randrange(60))) + " " + ("" if lang == "zh" else " ").join(body) + " w0 w1" * rnd.randrange(70)))
+    want = nearest(items, docs)
+    assert len(want) > 40 and near(spark, docs + docs[:3], items) == want
+    monkeypatch.setattr(leakage, "MAX_TERMS", 50)
+    monkeypatch.setattr(leakage, "_MATCHES", 300)
+    assert near(spark, docs, items) == want
