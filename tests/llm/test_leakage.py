@@ -145,3 +145,9 @@ def test_proximity_matches_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(leakage, "MAX_TERMS", 50)
     monkeypatch.setattr(leakage, "_MATCHES", 300)
     assert near(spark, docs, items) == want
+
+
+def test_items_of_one_or_two_tokens_are_found_near(spark):
+    items = [(1, "red fox", "en", "s"), (2, "red fox ran", "en", "s"), (3, "猫が好", "zh", "s")]
+    docs = [(1, "a red fox sat"), (2, "the fox ran"), (3, "red ran fox"), (4, "私は猫が好き"), (5, "a red fox ran")]
+    assert near(spark, docs, items) == {(1, 1): 1000, (1, 2): 500, (2, 2): 500, (4, 3): 1000, (5, 1): 1000, (5, 2): 1000}
