@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,7 +35,10 @@ PRESENTATION_RANGES = [(0x0132, 0x0133), (0x01C4, 0x01CC), (0x0E33, 0x0E33), (0x
 PRESENTATION_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
 #: Signs that must never become equal to their plain relatives.
 KEPT_APART = ["²2", "³3", "₂2", "①1", "½1/2", "ıi", "№No", "–-", "—-", "’'", "“\"", "éе", "ß8", "Оo", "0O", "1l", "。."]
-_LAST = 0x10000  # beyond it only the invisible tags below are rewritten; classes of one plane are searched fast
+# Rules of the first plane and of all; classes of one plane are searched fast, so the others are used only where a text needs them.
+# Beyond the second range no sign has a rule but the invisible tags below.
+_FIRST_PLANE = [(0x80, 0x10000)]
+_ALL_PLANES = [(0x80, 0x20000), (0x2F800, 0x2FA20)]
 _TAGS = "\U000e0000-\U000e0fff"
 
 
@@ -44,7 +48,7 @@ def _blank(ch: str) -> bool:
 
 def _unseen(cp: int, cat: str) -> bool:
     if cat == "Cf":
-        return not (0x600 <= cp <= 0x605 or cp in (0x6DD, 0x70F, 0x8E2))
+        return not (0x600 <= cp <= 0x605 or cp in (0x6DD, 0x70F, 0x8E2, 0x110BD, 0x110CD))
     return cat == "Cc" or cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F
 
 
@@ -63,7 +67,8 @@ def _ranges(cps: list[int]) -> str:
 class Transducer:
     """Compiled rules; ``apply`` rewrites one text, ``apply(apply(x)) == apply(x)``."""
 
-    def __init__(self) -> None:
+    def __init__(self, planes: list[tuple[int, int]] = _FIRST_PLANE) -> None:
+        self._first_only = planes == _FIRST_PLANE
         self.rules: dict[str, str] = {}
         blanks, unseen, marks = [], [], []
         base: dict[str, str] = {}
@@ -71,7 +76,7 @@ class Transducer:
             for a, b in zip(source, target, strict=True):
                 self._add(base, a, b)
         composed = []
-        for cp in range(0x80, _LAST):
+        for cp in chain.from_iterable(range(a, b) for a, b in planes):
             if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xDFFF:
                 continue  # ideographs and syllables have no rule
             ch = chr(cp)
@@ -112,6 +117,8 @@ class Transducer:
         self._has_blank = re.compile(f"[{bl}]")
         self._ignored = re.compile(f"[{ig}]+")
         self._ascii = re.compile(r"[\x00-\x20\x7f]{2,}|[\x00-\x1f\x7f]")
+        #: Signs beyond the first plane that a rule knows; a text without them needs the rules of the first plane only.
+        self.beyond = frozenset(c for c in [*self.rules, *map(chr, [*blanks, *unseen, *marks])] if c > "\uffff")
         self._cluster = lru_cache(1 << 16)(self._rewrite)
         self._check()
 
@@ -136,7 +143,7 @@ class Transducer:
 
     def _check(self) -> None:
         for source, target in self.rules.items():
-            if self.apply(target) != target:
+            if self._one_form(target) != target:
                 raise ValueError(f"the target of {source!r} is rewritten again")
         for pair in KEPT_APART:
             if self.apply(pair[0]) == self.apply(pair[1:]):
@@ -144,14 +151,23 @@ class Transducer:
 
     def joins(self, sign: str) -> bool:
         """Whether a sign may be part of a cluster of several: an accent or something unseen."""
+        if sign > "\uffff" and self._first_only:
+            return wide_transducer().joins(sign)
         return self._clusters.match(sign) is not None
 
     def apply(self, text: str) -> str:
         """The consistent form of ``text``."""
         if text.isascii():
             return self._ascii.sub(lambda m: " " if self._has_blank.search(m[0]) else "", text).strip(" ")
-        if max(text) >= "\U000e0000":
+        top = max(text)
+        if top >= "\U000e0000":
             text = self._tags.sub("", text)
+        if top > "\uffff" and self._first_only and not wide_transducer().beyond.isdisjoint(text):
+            return wide_transducer()._one_form(text)
+        return self._one_form(text)
+
+    def _one_form(self, text: str) -> str:
+        """``text`` without tags by the rules of these planes."""
         if not self._clusters.search(text):
             # Every cluster is a single sign: rewrite each distinct sign that has a rule.
             for sign in self._single.keys() & set(text):
@@ -167,6 +183,12 @@ def transducer() -> Transducer:
     return Transducer()
 
 
+@lru_cache(1)
+def wide_transducer() -> Transducer:
+    """The rules of all planes, for texts with a sign beyond the first that has a rule."""
+    return Transducer(_ALL_PLANES)
+
+
 @F.pandas_udf(T.StringType())
 def _consistent(texts: pd.Series) -> pd.Series:
     apply = transducer().apply

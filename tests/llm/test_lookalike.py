@@ -54,3 +54,15 @@ def test_very_long_and_null_text(spark):
     df = spark.createDataFrame([("ａ́ " * 200_000,), (None,), ("",)], "t string").select(consistent_text("t").alias("o"))
     a, b, c = [r.o for r in df.collect()]
     assert len(a) == 400_000 - 1 and b is None and c == ""
+
+
+def test_signs_beyond_the_first_plane():
+    f = transducer().apply
+    same = [("a\U0001d173b", "ab"), ("\U0002f800", "\u4e3d"), ("\U00011099\U000110ba", "\U0001109a"), ("\U0001d15e", "\U0001d157\U0001d165"), ("\U0001f3a7 ѕtop\u3000\U0001d17a", "\U0001f3a7 stop")]
+    for a, b in same:
+        assert f(a) == f(b), (a, b)
+    for a, b in (("\U0001d400", "A"), ("\U000110bd", ""), ("\U0001f3a7", ""), ("\U0001f44d\U0001f3fd", "\U0001f44d"), ("\U00020000", "\U00020001")):
+        assert f(a) != f(b), (a, b)
+    for cp in [*range(0x10000, 0x20000), *range(0x2F800, 0x2FA1E)]:
+        c = "k" + chr(cp)
+        assert f(f(c)) == f(c) == f(unicodedata.normalize("NFD", c)) == f(unicodedata.normalize("NFC", c)), hex(cp)
