@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talklake.llm.splitting import sequence_pieces, text_pieces
+from talklake.operators.sequence import idx_shard, prefix
 from talklake.runtime import table
 
 #: A pause between two segments of at least so many seconds is a boundary.
 PAUSE_SECONDS = 1.0
-_SHARD = 4_096
 
 
 def p2_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,10 @@ def p2_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_strengths(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     """(episode_id, id, idx, strength): 3 where a chapter begins, 2 at another speaker, 1 after a pause, else 0.
 
-    The segment before is looked up within a stretch of idx; the first of a stretch counts as a pause.
+    The segment before is the one before in the whole episode; an episode's first counts as another speaker, or as a pause if it has none.
     """
     own = segments.groupBy("episode_id", "id").agg(F.min(F.struct("idx", "start", "end", "speaker_id")).alias("m")).select("episode_id", "id", "m.*")
-    near = Window.partitionBy("episode_id", F.floor(F.coalesce(F.col("idx"), F.lit(2**31 - 1)) / F.lit(_SHARD))).orderBy(F.col("idx").asc_nulls_last(), "id")
-    told = own.withColumns({"_sp": F.lag("speaker_id").over(near), "_e": F.lag("end").over(near)})
+    told = prefix(own, ["episode_id"], idx_shard(), [F.col("idx").asc_nulls_last(), "id"], {"_sp": ("lag", "speaker_id"), "_e": ("lag", "end")})
     begins = chapters.where(F.col("segment_id").isNotNull()).select("episode_id", F.col("segment_id").alias("id"), F.lit(True).alias("_c")).distinct()
     strength = (
         F.when(F.col("_c"), 3)

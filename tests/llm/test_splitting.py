@@ -59,3 +59,10 @@ def test_boundary_strengths(spark):
     seg = spark.createDataFrame([("e", "a", 0, 0.0, 1.0, "x"), ("e", "b", 1, 1.0, 2.0, "x"), ("e", "c", 2, 4.0, 5.0, "x"), ("e", "d", 3, 5.0, 6.0, None), ("e", "f", 4, None, None, None), ("e", "a", 0, 0.0, 1.0, "x")], "episode_id string, id string, idx int, start double, end double, speaker_id string")
     ch = spark.createDataFrame([("e", "b"), ("e", None), ("e", "b")], "episode_id string, segment_id string")
     assert {r.id: r.strength for r in boundary_strengths(seg, ch).collect()} == {"a": 2, "b": 3, "c": 1, "d": 2, "f": 1}
+
+
+def test_the_segment_before_is_found_across_stretches(spark):
+    rows = [("e", f"s{i:05}", i, float(i), i + 1.0, "x") for i in (*range(4090, 4100), 8191, 8192, 20000)] + [("e", "t", None, 20001.0, 20002.0, "x"), ("f", "a", 4096, 0.0, 1.0, None)]
+    seg = spark.createDataFrame(rows, "episode_id string, id string, idx int, start double, end double, speaker_id string")
+    got = {(r.episode_id, r.id): r.strength for r in boundary_strengths(seg, spark.createDataFrame([], "episode_id string, segment_id string")).collect()}
+    assert len(got) == len(rows) and {k: v for k, v in got.items() if v} == {("e", "s04090"): 2, ("e", "s08191"): 1, ("e", "s20000"): 1, ("f", "a"): 1}
