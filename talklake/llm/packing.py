@@ -153,7 +153,7 @@ def relieve(parts: list[tuple[int, list[int]]], sizes: Sequence[int], windows: i
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, piece, start_pos, end_pos, n_tokens) of all texts; null and empty texts have none."""
+    """(doc_id, piece, start_pos, end_pos, n_tokens) of all texts with a doc_id; null and empty texts and those without a doc_id have none."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = tokenizer(path)
@@ -168,10 +168,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER) ->
 
 
 def fill_containers(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
-    """(container, doc_id, piece, start_pos, end_pos, n_tokens): every piece of every text in one container.
+    """(container, doc_id, piece, start_pos, end_pos, n_tokens): every piece of every text with a doc_id in one container.
 
     ``container`` names are unique. Documents are counted first, so that blocks keep their size however many
-    there are. Equal doc_ids are separate texts in the same block.
+    there are. Equal doc_ids are separate texts in the same block. A text with a null doc_id gets no container, as no row could tell
+    whose it is.
     """
     blocks = max(1, -(-docs.count() // block))
     cut = pieces(docs, capacity, path)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from talklake.llm.packing import TOKENIZER, differencing, fill_containers, pack_items, split_by_tokens, tokenizer
+from talklake.llm.packing import TOKENIZER, differencing, fill_containers, pack_items, pieces, split_by_tokens, tokenizer
 
 
 @settings(max_examples=200, deadline=None)
@@ -49,3 +49,10 @@ def test_long_texts_are_split_without_loss(spark):
             texts[r.piece] = long[r.start_pos : r.end_pos]
     assert "".join(texts[k] for k in sorted(texts)) == long
     assert fill_containers(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="the tokenizer is not here")
+def test_texts_without_an_id_get_no_container(spark):
+    df = spark.createDataFrame([(None, "no id"), (None, "no id " * 90), (7, "some text")], "doc_id long, text string")
+    assert [r.doc_id for r in pieces(df, 64).collect()] == [r.doc_id for r in fill_containers(df, 64).collect()] == [7]
+    assert "null doc_id" in fill_containers.__doc__ and "without a doc_id" in pieces.__doc__
