@@ -3,10 +3,12 @@
 The text is scanned once for signs that may matter: end marks, quotes, brackets, line breaks and, in Thai,
 blanks. Every such gap is then classified.
 
-* Spaced scripts: the classes that an end mark can have there (end of a word, abbreviation, initial, number,
-  ellipsis) and the classes of what follows form a small lattice; the decision is read off the pair.
-* Spaceless scripts: the end mark before a gap and, after a quotation, the word that follows it (read from a word lattice
-  over a dictionary of function words) give its class: an opening word begins a unit, a continuing one does not.
+* Spaced scripts: a cascade of rules on the sign, the word before it (abbreviation, initial, number) and what follows.
+* Spaceless scripts: the end mark before a gap decides and, after a quotation, a short list of words that may follow it.
+
+These rules on signs stand in place of word lattices (a dictionary for spaceless scripts, final particles and opening words
+at gaps, a lattice of end marks for spaced scripts), none of which is built: the rules of TESTDATA.md decide every gap by
+its signs, but for と after a quotation.
 * Quotes and brackets are matched first, so that nothing inside one is cut and unpaired signs change nothing.
 
 Positions count code points. Invisible signs are looked through; look-alike letters are read as what they look like.
@@ -46,7 +48,7 @@ EITHER_ABBREVIATIONS = set(
 )
 # German months, before which a number with a full stop is an ordinal.
 MONTHS = set("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-# Function words of the gap lattice for spaceless scripts, with the class of each.
+# Words that may follow a closed quotation, with the class of each.
 GAP_WORDS = {"と": "continue", "って": "new", "とか": "continue", "という": "continue", "とは": "continue", "とも": "continue"}
 _LONGEST_GAP_WORD = max(map(len, GAP_WORDS))
 
@@ -66,10 +68,9 @@ _LINES = re.compile(r"[^\n\r\u2028\u2029\x0b\x0c\x85]+")
 
 
 def gap_class(text: str, at: int) -> str:
-    """Class of the word that begins at ``at`` in a spaceless script: the cheapest path of the word lattice.
+    """Class of what begins at ``at`` after a closed quotation: that of the shortest listed word there, else new.
 
-    Every dictionary word that begins here is an edge; a single sign not in the dictionary costs more. As the
-    particle after a quotation binds closest, the shortest dictionary word on an open path decides.
+    No text is segmented: the particle after a quotation binds closest, so one look at the list is enough.
     """
     best, cost = "new", 2
     for n in range(1, _LONGEST_GAP_WORD + 1):
